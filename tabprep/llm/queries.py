@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash
+from . import exact_dedup, mixing, packing, sharding, simhash, substring_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).drop("text_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -47,12 +51,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op5_substring_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT r, at, array_to_string(words[at : at + 34], ' ') AS body
+            FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS at FROM texts WHERE len(words) >= 35)
+        ), repeated AS (
+            SELECT r, at FROM windows QUALIFY count(*) OVER (PARTITION BY body) > 1
+        ), gone AS (
+            SELECT DISTINCT r, unnest(range(at, at + 35)) AS place FROM repeated
+        ), words AS (
+            SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
+        ), kept AS (
+            SELECT r, string_agg(word, ' ' ORDER BY place) AS body, count(*) AS n
+            FROM words ANTI JOIN gone USING (r, place) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r)
+    """,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
