@@ -16,47 +16,57 @@ from pyspark.sql import functions as F
 from .ranks import hash_key, running
 from .scratch import Scratch
 
-#: Letters and other numbers below U+0250, where lower-casing and normal form need no context (U+0130 left out).
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+#: Letters and other numbers below U+0180, where lower-casing and normal form need no context and stay below (U+0130 left out).
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 NUMBERS = "0-9²³¹¼-¾"
-PLAIN = re.compile(f"[\t-\r -~¡-įı-ɏ]*")
+PLAIN = re.compile(f"[\t-\r -~¡-įı-ſ]*")
 #: The file's own split rule, within those characters.
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
-#: Pieces of a text whose ids are remembered, and how long they may be.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
+#: Parts of texts whose ids each worker process remembers, and how long they may be.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+_encoders: dict[str, Callable[[str], bytes]] = {}
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit integers, as the file's tokenizer gives them.
 
-    Texts of plain Latin characters are split by the file's own rule, and the ids
-    of each part are remembered; any other text, or one with a special token's
-    string, goes to the tokenizer as a whole.
+    Texts of plain Latin characters are lower-cased and split by the file's own
+    rule here, its merges give each part's ids, and a process remembers those of
+    short parts.  Any other text, or one with a special token's string, goes to
+    the tokenizer as a whole.
     """
+    if path in _encoders:
+        return _encoders[path]
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
+    letters = dict(enumerate(byte_letters()))
+    merge = tok.model.tokenize
     pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    whole = lambda s: pack(tok.encode(s, add_special_tokens=False).ids)
 
     class Parts(dict):
         def __missing__(self, part: str) -> bytes:
-            ids = whole(part)
-            if len(part) <= CACHE_CHARS:
-                if len(self) >= CACHE_ENTRIES:
-                    self.clear()
+            ids = pack([t.id for t in merge(part.encode().decode("latin-1").translate(letters))])
+            if len(part) <= CACHE_CHARS and len(self) < CACHE_ENTRIES:
                 self[part] = ids
             return ids
 
-    parts = Parts(known)
+    parts = Parts()
 
     def encode(text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(s in text for s in special):
-            return whole(text)
+            return pack(tok.encode(text, add_special_tokens=False).ids)
         return b"".join(map(parts.__getitem__, SPLIT.findall(text.lower())))
 
+    _encoders[path] = encode
     return encode
 
 
@@ -68,8 +78,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
         step = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                key, ids = key.as_py(), encode(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for col, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
