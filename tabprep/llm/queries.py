@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup
+from . import exact_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,6 +51,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
