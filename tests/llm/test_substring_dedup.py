@@ -29,9 +29,9 @@ def some_texts(seed):
 
 
 def test_levels():
-    assert substring_dedup.levels(35) == [8, 16, 32, 35]
+    assert substring_dedup.levels(35) == [18, 35]
+    assert substring_dedup.levels(35, 8) == [5, 9, 18, 35]
     assert substring_dedup.levels(5) == [5]
-    assert substring_dedup.levels(16) == [8, 16]
 
 
 def test_window_hashes_depend_on_the_words_alone():
@@ -44,11 +44,11 @@ def test_window_hashes_depend_on_the_words_alone():
                 assert (h[i] == h[j]) == ((one[i : i + length] == one[j : j + length]).all())
 
 
-@pytest.mark.parametrize(("seed", "window"), [(1, 35), (2, 35), (3, 10)])
-def test_matches_brute_force(spark, seed, window):
+@pytest.mark.parametrize(("seed", "window", "first"), [(1, 35, 18), (2, 35, 9), (3, 10, 18)])
+def test_matches_brute_force(spark, seed, window, first):
     texts = some_texts(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string").repartition(3)
-    rows = substring_dedup.remove_repeats(docs, window).collect()
+    rows = substring_dedup.remove_repeats(docs, window, first).collect()
     found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows}
     assert [found[i] for i in range(len(texts))] == brute(texts, window)
 
