@@ -10,19 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Word counts of a window, and of the first level.
-WINDOW, FIRST = 35, 8
+from .scratch import Scratch
+
+#: Words of a window, and of a run at the first level at most.
+WINDOW, FIRST = 35, 18
 #: Odd multipliers of the rolling hashes and of the mixing step.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
 def levels(window: int, first: int = FIRST) -> list[int]:
-    """Window lengths of the levels: doubled from ``first`` on, and at last ``window`` itself."""
-    out, length = [], min(first, window)
-    while length < window:
-        out.append(length)
-        length *= 2
-    return [*out, window]
+    """Run lengths of the levels: each is twice the one before, or one less, and the last is ``window``."""
+    out = [window]
+    while out[0] > first:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -114,31 +115,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, do
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by spaces).
 
     A window is ``window`` words of one document that follow each other.  Each
-    level looks at one length, from ``first`` words on and then doubled.  A window
-    is represented by the run of that length inside it whose hash is least; runs
-    that occur once end their windows' candidacy, the others are extended to twice
-    the length, until at last whole windows are compared.  So from level to level
-    only what was repeated at half the length moves, as hashes and places.  The
-    texts are shuffled once, by document; all levels read that shuffle.
+    level looks at one length, about twice the one before.  A window is
+    represented by the run of that length inside it whose hash is least; runs that
+    occur once end their windows' candidacy, the others are extended to twice the
+    length, until at last whole windows are compared.  So from level to level only
+    what was repeated at half the length moves, as hashes and places.  The last
+    level and the removal read one and the same shuffle of the texts.
 
     Null texts have no words.  Repeated rows are texts like any other, so each
     makes the other's windows repeated.  Texts shorter than a window stay whole.
-    Two 64-bit hashes of a window must agree for it to count as repeated.
+    Two hashes of a window, of 64 and 32 bits, must agree for it to count as repeated.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keys = {"k1": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "k2": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), *[c.alias(n) for n, c in keys.items()]).repartition("k1", "k2")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), *[c.alias(n) for n, c in keys.items()])
+    texts = given.repartition("k1", "k2")
+    scratch, lengths = Scratch(docs.sparkSession, "repeats"), levels(window, first)
     found: DataFrame | None = None
-    lengths = levels(window, first)
-    for before, length in zip([None, *lengths], lengths, strict=False):
-        found = one_level(texts, found, window, before, length)
+    before: int | None = None
+    for length in lengths[:-1]:
+        rows = scratch.keep(candidates(given if found is None else texts, found, window, before, length))
+        written = scratch.made - 1
+        found, before = scratch.keep(by_text(repeated(rows))), length
+        scratch.forget(written)
+    found = by_text(repeated(candidates(given if found is None else texts, found, window, before, window)))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for key, text, places in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "places")), strict=True):
-                words = text.split()
-                gone = covered(len(words), np.unique(np.array(places, np.int64)), window) if places else None
+            for key, text, places in zip(*(batch.column(k) for k in ("doc_id", "text", "places")), strict=True):
+                key, words = key.as_py(), text.as_py().split()
+                gone = covered(len(words), np.unique(places.values.to_numpy()), window) if places.is_valid else None
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 joined = b" ".join(kept)
                 row = (key, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined)
@@ -147,42 +154,47 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, do
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = texts.join(found, ["k1", "k2"], "left").select("doc_id", "text", "places")
+    joined = texts.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "places")
     out = joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
-def one_level(texts: DataFrame, found: DataFrame | None, window: int, before: int | None, length: int) -> DataFrame:
-    """Rows (k1, k2, places): of each text the repeated runs of ``length`` words that stand for a candidate window."""
+def by_text(rows: DataFrame) -> DataFrame:
+    """Rows (k1, k2, places) with the places of each text."""
+    return rows.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+
+
+def candidates(texts: DataFrame, found: DataFrame | None, window: int, before: int | None, length: int) -> DataFrame:
+    """Rows (k1, k2, place, hash): the runs of ``length`` words that stand for a window still in question."""
     last = length == window
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, texts = (batch.column(k).to_pylist() for k in ("k1", "k2", "text"))
-            known = batch.column("places").to_pylist() if before else [None] * len(texts)
+            k1, k2, bodies = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")
+            known = batch.column("places") if before else [None] * len(bodies)
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for a, b, text, places in zip(k1, k2, texts, known, strict=True):
-                words = text.split()
+            for a, b, text, places in zip(k1, k2, bodies, known, strict=True):
+                words = text.as_py().split()
                 if len(words) < window:
                     continue
                 single = word_hashes(words)
-                hashes, at = candidate_runs(single, window, length, before, None if before is None else np.array(places, np.int64))
+                hashes, at = candidate_runs(single, window, length, before, None if before is None else places.values.to_numpy())
                 if last:
                     # a second, independent hash of whole windows
-                    other = window_hashes(mixed(single ^ STEP), length)[at]
+                    other = (window_hashes(mixed(single ^ STEP), length)[at] >> np.uint64(32)).astype(np.uint32)
                 else:
-                    other = np.zeros(0, np.uint64)
-                for col, value in zip(out, (np.full(len(at), a), np.full(len(at), b), at.astype(np.int32), hashes[at].view(np.int64), other.view(np.int64)), strict=True):
+                    other = np.zeros(0, np.uint32)
+                for col, value in zip(out, (np.full(len(at), a), np.full(len(at), b), at.astype(np.int32), hashes[at].view(np.int64), other.view(np.int32)), strict=True):
                     col.append(value)
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()][: 4 + last]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()][: 4 + last]
             names = ["k1", "k2", "place", "hash", "other"][: 4 + last]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
-    # all columns of texts stay, so that every level and the removal read one and the same shuffle
-    given = texts if found is None else texts.join(found, ["k1", "k2"])
+    # all columns of texts stay, so that the last level and the removal read one and the same shuffle
+    given = texts if found is None else texts.join(found.hint("shuffle_hash"), ["k1", "k2"])
     kind = "k1 long, k2 long, place int, hash long"
-    rows = given.mapInArrow(runs, f"{kind}, other long" if last else kind)
+    rows = given.mapInArrow(runs, f"{kind}, other int" if last else kind)
     if last:
         rows = rows.select("k1", "k2", "place", F.struct("hash", "other").alias("hash"))
-    return repeated(rows).groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    return rows
