@@ -77,12 +77,12 @@ ORACLE_SQL = {
         WITH texts AS (
             SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
         ), windows AS (
-            SELECT r, at, array_to_string(words[at : at + 34], ' ') AS body
-            FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS at FROM texts WHERE len(words) >= 35)
+            SELECT r, i, array_to_string(words[i : i + 34], ' ') AS body
+            FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM texts WHERE len(words) >= 35)
         ), repeated AS (
-            SELECT r, at FROM windows QUALIFY count(*) OVER (PARTITION BY body) > 1
+            SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY body) > 1
         ), gone AS (
-            SELECT DISTINCT r, unnest(range(at, at + 35)) AS place FROM repeated
+            SELECT DISTINCT r, unnest(range(i, i + 35)) AS place FROM repeated
         ), words AS (
             SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
         ), kept AS (
