@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
