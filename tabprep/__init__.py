@@ -1,0 +1 @@
+"""Profiling and cleaning of wide, sparse tables with Spark DataFrames."""
