@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..functions.columns import quoted
 from ..functions.measures import fill, leading_number, leading_unit
@@ -99,6 +100,8 @@ class Cleaner(Estimator):
         for c in dense:
             p = known.columns[c]
             value = p.mean if is_numeric(p.type) else p.mode if is_text(p.type) else None
-            if value is not None and c not in s.exclude:
+            # a whole-number column without missing cells keeps its type; its mean would make it double
+            whole = is_numeric(p.type) and not isinstance(p.type, (T.DoubleType, T.FloatType)) and p.non_null == known.rows
+            if value is not None and c not in s.exclude and not whole:
                 fills[c] = value
         return CleanerModel(dense, fills, s.measures, s.non_negative, s.any_digits)
