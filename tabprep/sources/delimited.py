@@ -37,7 +37,7 @@ def as_number(c: Column) -> Column:
     """Text as double; infinities in any spelling."""
     body = F.lower(F.trim(c))
     spelled = F.when(body.rlike(r"^\+?inf"), F.lit(float("inf"))).when(body.rlike(r"^-inf"), F.lit(float("-inf")))
-    return spelled.otherwise(F.expr("try_cast(NULL AS DOUBLE)") if c is None else body.try_cast("double"))
+    return spelled.otherwise(body.try_cast("double"))
 
 
 def inferred(df: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def read_delimited(
         bad = rows.select("*", long_line.alias("bad")).where("bad").head(1)
         if bad:
             raise ValueError(f"a line of {path} has more than {len(names)} fields: {bad[0][CORRUPT][:200]!r}")
-    kept = rows.where(~long_line)
+    # Spark refuses to read the record alone, so a cell is always looked at
+    kept = rows.where(~long_line & (F.length(F.coalesce(F.col("f0"), F.lit(""))) >= 0))
     cells = [F.when(~F.col(f"f{i}").isin(*NULL_TOKENS), F.col(f"f{i}")).alias(name) for i, name in enumerate(names)]
     table = kept.select(*cells)
     if limit is not None:
