@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 #: Words of a window, and of a run at the first level at most.
 WINDOW, FIRST = 35, 18
+#: Runs that a task combines before they are shuffled.
+BLOCK = 1 << 20
 #: Odd multipliers of the rolling hashes and of the mixing step.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -99,16 +101,23 @@ def candidate_runs(words: np.ndarray, window: int, length: int, before: int | No
     return hashes, np.unique(choice)
 
 
+def combined(hashes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with two hashes each: the first row of each pair of values, whether there are more, and the other rows."""
+    order = np.lexsort((others, hashes))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (others[order][1:] == others[order][:-1])
+    new = np.r_[True, ~same]
+    return order[new], np.r_[same, False][new], order[~new]
+
+
 def repeated(rows: DataFrame) -> DataFrame:
-    """Of rows (hash, ...) those whose hash occurs more than once.
+    """Rows (k1, k2, places): of each text the places of runs that occur again, from the rows of :func:`candidates`.
 
-    Counts are added up before the shuffle, and the join's rows of a hash can be
-    split over tasks, as the few repeated hashes stand on its other side.
+    Rows meet by hash.  As each block of a task has sent a hash once at most, a
+    hash has no more rows than there are blocks, however often it occurs.
     """
-    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    dealt = rows.withColumn("salt", F.pmod(F.hash("k1", "k2"), F.lit(4)))
-    return dealt.join(salted, ["hash", "salt"], "left_semi").drop("salt")
+    met = rows.repartition("hash").withColumn("total", F.sum("n").over(Window.partitionBy("hash", "other")))
+    found = met.where(F.col("places").isNotNull() | (F.col("total") > 1))
+    return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.coalesce("places", F.array("place")))).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,11 +143,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, do
     found: DataFrame | None = None
     before: int | None = None
     for length in lengths[:-1]:
-        rows = scratch.keep(candidates(given if found is None else texts, found, window, before, length))
-        written = scratch.made - 1
-        found, before = scratch.keep(by_text(repeated(rows))), length
-        scratch.forget(written)
-    found = by_text(repeated(candidates(given if found is None else texts, found, window, before, window)))
+        found = scratch.keep(repeated(candidates(given if found is None else texts, found, window, before, length)))
+        before = length
+    found = repeated(candidates(given if found is None else texts, found, window, before, window))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,42 +166,55 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, do
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
-def by_text(rows: DataFrame) -> DataFrame:
-    """Rows (k1, k2, places) with the places of each text."""
-    return rows.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+def candidates(texts: DataFrame, found: DataFrame | None, window: int, before: int | None, length: int) -> DataFrame:
+    """Rows (k1, k2, place, places, hash, other, n): the runs of ``length`` words that stand for a window still in question.
 
+    Runs are combined in blocks of about BLOCK: of equal ones in a block, the
+    first has n = 2 and the places of the others, known to be repeated, come in
+    rows of n = 0, one for each text.
+    """
 
-def candidates(texts: DataFrame, found: DataFrame | None, window: int, before: int | None, length: int) -> DataFrame:
-    """Rows (k1, k2, place, hash): the runs of ``length`` words that stand for a window still in question."""
-    last = length == window
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        size = [len(x[2]) for x in held]
+        k1, k2 = (np.repeat(np.array([x[k] for x in held], np.int64), size) for k in (0, 1))
+        place, hashes, others = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+        first, more, rest = combined(hashes, others)
+        first, more = first[np.argsort(first)], more[np.argsort(first)]
+        rest = np.sort(rest)
+        cut = np.flatnonzero(np.r_[True, (k1[rest][1:] != k1[rest][:-1]) | (k2[rest][1:] != k2[rest][:-1])]) if len(rest) else rest
+        head = rest[cut]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(len(first), np.int32), cut, len(rest)].astype(np.int32)), pa.array(place[rest]), mask=pa.array(np.arange(len(first) + len(head)) < len(first)))
+        columns = {
+            "k1": np.r_[k1[first], k1[head]],
+            "k2": np.r_[k2[first], k2[head]],
+            "place": np.r_[place[first], place[head]],
+            "places": lists,
+            "hash": np.r_[hashes[first], mixed(hashes[head] ^ k2[head].view(np.uint64))].view(np.int64),
+            "other": np.r_[others[first], others[head]].view(np.int32),
+            "n": np.r_[1 + more.astype(np.int32), np.zeros(len(head), np.int32)].astype(np.int32),
+        }
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             k1, k2, bodies = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")
             known = batch.column("places") if before else [None] * len(bodies)
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for a, b, text, places in zip(k1, k2, bodies, known, strict=True):
                 words = text.as_py().split()
                 if len(words) < window:
                     continue
                 single = word_hashes(words)
                 hashes, at = candidate_runs(single, window, length, before, None if before is None else places.values.to_numpy())
-                if last:
-                    # a second, independent hash of whole windows
-                    other = (window_hashes(mixed(single ^ STEP), length)[at] >> np.uint64(32)).astype(np.uint32)
-                else:
-                    other = np.zeros(0, np.uint32)
-                for col, value in zip(out, (np.full(len(at), a), np.full(len(at), b), at.astype(np.int32), hashes[at].view(np.int64), other.view(np.int32)), strict=True):
-                    col.append(value)
-            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()][: 4 + last]
-            names = ["k1", "k2", "place", "hash", "other"][: 4 + last]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
+                other = (window_hashes(mixed(single ^ STEP), length)[at] >> np.uint64(32)).astype(np.uint32)
+                held.append((a, b, at.astype(np.int32), hashes[at], other))
+                rows += len(at)
+                if rows >= BLOCK:
+                    yield block(held)
+                    held, rows = [], 0
+        if held:
+            yield block(held)
 
     # all columns of texts stay, so that the last level and the removal read one and the same shuffle
     given = texts if found is None else texts.join(found.hint("shuffle_hash"), ["k1", "k2"])
-    kind = "k1 long, k2 long, place int, hash long"
-    rows = given.mapInArrow(runs, f"{kind}, other int" if last else kind)
-    if last:
-        rows = rows.select("k1", "k2", "place", F.struct("hash", "other").alias("hash"))
-    return rows
+    return given.mapInArrow(runs, "k1 long, k2 long, place int, places array<int>, hash long, other int, n int")
