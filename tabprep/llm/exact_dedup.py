@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import attach
@@ -76,12 +76,20 @@ def exact_groups(
     )
 
 
+def row_key(doc_id: Column, sha: Column) -> dict[str, Column]:
+    """Columns without nulls that tell rows apart by id and text hash; a null id is none of the others."""
+    return {"__k": F.coalesce(doc_id, F.lit(0)), "__z": doc_id.isNull(), "__h": sha}
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id and text hash (columns doc_id, text_sha256) are in ``kept``, each once."""
-    mark = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumns({"__k": F.col(doc_id).cast("long"), "__h": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
-    met = keyed.join(mark, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__sha")), "left_semi")
-    first = Window.partitionBy("__k", "__h").orderBy(F.lit(0))
+    """The rows of ``docs`` whose id and text hash (columns doc_id, text_sha256) are in ``kept``, each once.
+
+    The keys have no nulls, so the join and the choice among repeated rows share one shuffle of the texts.
+    """
+    mark = kept.select(*[c.alias(n) for n, c in row_key(F.col("doc_id"), F.col("text_sha256")).items()]).distinct()
+    keyed = docs.withColumns(row_key(F.col(doc_id).cast("long"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    met = keyed.join(mark, ["__k", "__z", "__h"], "left_semi")
+    first = Window.partitionBy("__k", "__z", "__h").orderBy(F.lit(0))
     return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[f"`{c}`" for c in docs.columns])
 
 

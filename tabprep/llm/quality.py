@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import keep_rows
 from .scratch import Scratch
 
 #: White space that ends words, words, and the characters counted as symbols.
