@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: White space between words; what stands for a word's begin and end and for a rare letter.
+#: White space between words; what stands for a word's begin and end, and for these two where a text has them.
 SPACE, BEGIN, END, RARE = r"[\x20\x09-\x0D]+", "\x02", "\x03", "\x1a"
-#: Letters told apart, grams of the longest order, and entries of the model that is sent to the tasks, at most.
-LETTERS, ORDER, MOST_ENTRIES = 120, 6, 2_000_000
+MARKS = f"[{BEGIN}{END}]"
+#: Grams of the longest order, and entries of a part of the model: the tasks hold one part at a time.
+ORDER, PART_ENTRIES = 6, 500_000
 #: Share of the pooled model in the toxic one, as toxic texts are ordinary language for the most part; and the factor up
 #: to which the classes' probabilities count as equal, as languages and sources differ between the classes by chance.
 POOLED, EQUAL = 0.5, 2.0
@@ -87,7 +87,7 @@ def pooled(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
         t = t.withColumns({"pool": F.col("n") / F.col("total"), "reserved": d * F.col("kinds") / F.col("total"), "shorter": tail()})
         t = t.withColumn("part", F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total"))
         if below is None:
-            t = t.withColumn("low", F.lit(1 / LETTERS))
+            t = t.withColumn("low", 1 / F.col("kinds"))
         else:
             t = t.join(below.select(F.col("gram").alias("shorter"), F.col("probability").alias("low")), "shorter")
         return t.select("gram", "pool", "reserved", "low", (F.col("part") + F.col("reserved") * F.col("low")).alias("probability"))
@@ -140,10 +140,11 @@ def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def scored(docs: DataFrame, model: dict[str, float], order: int) -> DataFrame:
-    """``docs`` (columns doc_id, text and more, text prepared) with ``value`` for the text: the mean difference a letter."""
+def one_pass(docs: DataFrame, model: dict[str, float], order: int, last: bool) -> DataFrame:
+    """``docs`` with the texts' differences by ``model`` added to ``total``; or, at last, with ``value``, their mean a letter, instead of text and total."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in (("text", "total") if last else ("total",))]
+    added = "value" if last else "total"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
@@ -164,15 +165,36 @@ def scored(docs: DataFrame, model: dict[str, float], order: int) -> DataFrame:
 
         known = Words()
         for batch in batches:
-            values = []
-            for text in batch.column("text"):
+            out = []
+            for text, before in zip(batch.column("text"), batch.column("total").to_pylist(), strict=True):
                 words = text.as_py().split()
+                total = before + math.fsum(map(known.__getitem__, words))
                 letters = sum(map(len, words)) + len(words)
-                values.append(math.fsum(map(known.__getitem__, words)) / letters if letters else 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(values, pa.float64())], [*names, "value"])
+                out.append(total if not last else total / letters if letters else 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.float64())], [*names, added])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(score, f"{kinds}, value double")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return docs.mapInArrow(score, f"{kinds}, {added} double")
+
+
+def scored(docs: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
+    """``docs`` (columns doc_id, text and more, text prepared) with ``value`` for the text: the mean difference a letter.
+
+    The kept table ``weights`` is dealt into parts of about PART_ENTRIES grams;
+    each passes over the texts once, so the whole model counts and a task holds
+    one part.
+    """
+    parts = max(1, math.ceil(weights.count() / PART_ENTRIES))
+    t = docs.withColumn("total", F.lit(0.0))
+    for k in range(parts):
+        part = weights.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()
+        model = dict(zip(part.column("gram").to_pylist(), part.column("weight").to_pylist(), strict=True))
+        t = one_pass(t, model, order, k == parts - 1)
+        if k < parts - 1:  # or the tasks would hold the next part too
+            t = scratch.keep(t)
+            if k:
+                scratch.forget(scratch.made - 2)
+    return t
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER) -> DataFrame:
@@ -183,10 +205,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     logistic curve, fitted on a slice of the training rows that is kept out of the
     models, turns it into the score.
 
-    The model is sent to the tasks: it tells LETTERS letters apart (the most
-    frequent), and the order is lowered until it has MOST_ENTRIES entries at most,
-    which order 2 always has; so its size has a bound while its counts cover all
-    training rows.  Null and empty texts have value 0.  An id labelled more than
+    All letters are told apart and the order is the same for any input.  The
+    model is sent to the tasks in parts of a bounded size, each of which passes
+    over the texts.  Null and empty texts have value 0.  An id labelled more than
     once is toxic if one label says so; null labels are left out.  Without
     training rows of both classes every score is the toxic share (0 if none).
     """
@@ -201,27 +222,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     sizes = {(r["calibrates"], r["label"]): r["count"] for r in marks.groupBy(slice_.alias("calibrates"), "label").count().collect()}
     apart = min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE
     words = scratch.keep(word_counts(training.where(~slice_) if apart else training))
-    letters = words.select(F.explode(F.split("word", "")).alias("c"), (F.col("toxic") + F.col("ordinary")).alias("n"))
-    common = [r["c"] for r in letters.groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS - 2).collect()]
-    rare = "[^" + "".join(re.escape(c) if c.isascii() else c for c in [" ", *common]) + "\\t-\\r]"
-    while True:
-        counts = scratch.keep(gram_counts(words, rare, order))
-        if order == 2 or counts.count() <= MOST_ENTRIES:
-            break
-        order -= 1
-    table = differences(counts, scratch, order).toArrow()
-    model = dict(zip(table.column("gram").to_pylist(), table.column("weight").to_pylist(), strict=True))
-    prepared = lambda rows: rows.withColumn("text", F.regexp_replace("text", rare, RARE).cast("binary"))
+    counts = scratch.keep(gram_counts(words, MARKS, order))
+    weights = scratch.keep(differences(counts, scratch, order))
+    prepared = lambda rows: rows.withColumn("text", F.regexp_replace("text", MARKS, RARE).cast("binary"))
     curve = (0.0, -math.inf)
     both = all(any(label == k for _, label in sizes) for k in (0, 1))
     if both:
-        trial = scored(prepared(training.where(slice_) if apart else training), model, order)
+        trial = scored(prepared(training.where(slice_) if apart else training), weights, scratch, order)
         bins = trial.groupBy(F.round(F.least(F.greatest("value", F.lit(-LIMIT)), F.lit(LIMIT)) * STEPS).alias("bin"), "label").count().collect()
         curve = logistic([(r["bin"] / STEPS, r["label"], r["count"]) for r in sorted(bins)])
     elif sizes:
         curve = (0.0, math.inf if any(label == 1 for _, label in sizes) else -math.inf)
     slope, intercept = curve
     chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("value") + F.lit(intercept)))) if both else F.lit(1.0 if intercept > 0 else 0.0)
-    out = scored(prepared(lowered), model, order).withColumn("score", chance)
+    out = scored(prepared(lowered), weights, scratch, order).withColumn("score", chance)
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -65,3 +65,28 @@ def test_edges(spark):
     assert len(found) == 5 and all(r["score"] == 0 and r["predicted"] == 0 for r in found)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 5
+
+
+def test_a_large_model_keeps_its_order_and_scores(spark, corpus, monkeypatch):
+    rows, labels = corpus
+    docs = spark.createDataFrame(rows[:200], "doc_id long, text string, x string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = lambda: {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, marks).collect()}
+    whole = scores()
+    for limit in ("MOST_ENTRIES", "PART_ENTRIES"):
+        monkeypatch.setattr(toxicity, limit, 50, raising=False)
+    passes, one_pass = [], getattr(toxicity, "one_pass", None)
+    monkeypatch.setattr(toxicity, "one_pass", lambda d, model, *more: passes.append(len(model)) or one_pass(d, model, *more), raising=False)
+    assert scores() == pytest.approx(whole, abs=1e-9)
+    assert len(passes) > 4 and max(passes) < 100
+
+
+def test_letters_of_large_scripts_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    signs = [chr(0x4E00 + i) for i in range(127)]
+    own = lambda i: [signs[125 + i % 4] * 2] * 4 if i % 4 < 2 else []
+    rows = [(i, " ".join([*("".join(rng.choice(signs[:125], 3)) for _ in range(120)), *own(i)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(docs, marks).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) > 0.95
