@@ -15,9 +15,9 @@ SPACE, WORD, SYMBOLS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Statistics are rounded to 1 / GRID.
 GRID = 32
-#: Share of a group that its estimate covers, concentration steps, rows that a group needs for one of its own,
+#: Share of a group that its estimate covers, concentration steps, rows of its language's estimate that are added to it,
 #: and the probability with which an ordinary text passes.
-COVER, STEPS, LEAST_ROWS, PASS = 0.75, 4, 200, 0.9999
+COVER, STEPS, ADDED_ROWS, PASS = 0.75, 4, 10, 0.9999
 #: Distances are compared in steps of 1 / DISTANCE_GRID, up to DISTANCE_MOST.
 DISTANCE_GRID, DISTANCE_MOST = 16, 4096
 #: The transformed statistics, and the standard deviation that each has at least: prose varies so much even where most
@@ -145,11 +145,26 @@ def moment_sums() -> list[Column]:
     return sums
 
 
+def shrunk(sums: DataFrame) -> DataFrame:
+    """The sums of each language with ADDED_ROWS rows like the whole table's, and of each source with as many like its language's."""
+    names = [c for c in sums.columns if c not in ("level", "lang", "source")]
+    found = sums.where("level = 2")
+    above = found
+    for level in (1, 0):
+        up = above.select(F.col("lang").alias("up"), *[(F.col(c) * ADDED_ROWS / F.col("n")).alias(f"up_{c}") for c in names])
+        own = sums.where(F.col("level") == level).withColumn("up", F.col("lang") if level == 0 else F.lit(""))
+        mixed = [(F.col(c) + F.coalesce(F.col(f"up_{c}"), F.lit(0.0))).alias(c) for c in names]
+        above = own.join(up, "up", "left").select("level", "lang", "source", *mixed)
+        found = found.union(above)
+    return found
+
+
 def estimates(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """The minimum-covariance-determinant estimate of each group (columns level, lang, source) of weighted cells.
 
     It starts from coordinate-wise medians and quartiles; each concentration step
     takes the COVER share of the group's rows that lie nearest and estimates anew.
+    Groups are shrunk at last, the more the fewer rows they have.
     """
     p, group = len(STATISTICS), ["level", "lang", "source"]
     quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q_{i}") for i, c in enumerate(STATISTICS)]
@@ -166,8 +181,9 @@ def estimates(cells: DataFrame, scratch: Scratch) -> DataFrame:
         binned = with_distance(cells.join(known, group)).withColumn("bin", F.least(F.floor(F.col("distance") * DISTANCE_GRID), F.lit(DISTANCE_MOST)))
         limit = binned.groupBy(*group).agg(F.percentile("bin", F.lit(COVER), F.col("n")).alias("limit"))
         near = binned.select(*group, *STATISTICS, "n", "bin").join(limit, group).where("bin <= limit")
-        known = scratch.keep(factored(near.groupBy(*group).agg(*moment_sums()), factor))
-    return known
+        sums = scratch.keep(near.groupBy(*group).agg(*moment_sums()))
+        known = factored(sums, factor)
+    return scratch.keep(factored(shrunk(sums), factor))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -175,9 +191,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
     Texts that fail no base rule are judged by the Mahalanobis distance of their
     transformed statistics from the minimum-covariance-determinant estimate of
-    their language and source; groups of fewer than LEAST_ROWS such rows take
-    their language's estimate, and languages of fewer the whole table's.  A text
-    is kept if the distance is below the chi-square quantile of PASS.
+    their language and source, to which ADDED_ROWS rows like their language's
+    are added, and to those as many like the whole table's.  A text is kept if
+    the distance is below the chi-square quantile of PASS.
 
     Statistics are rounded to a grid, and equal vectors of a group are counted,
     not listed, so the estimate's tables hardly grow with the input, its sums
@@ -198,24 +214,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     )
     cells = cells.select(F.explode(levels).alias("g"), *STATISTICS, "n").groupBy("g.level", "g.lang", "g.source", *STATISTICS).agg(F.sum("n").alias("n"))
     cells = scratch.keep(cells)
-    known = estimates(cells, scratch)
-    sizes = cells.groupBy("level", "lang", "source").agg(F.sum("n").alias("rows"))
-    small = lambda level: sizes.where(F.col("level") == level)
-    groups = counts.select("lang", "source").distinct()
-    of_group = small(0).select("lang", "source", F.col("rows").alias("rows_0"))
-    of_lang = small(1).select("lang", F.col("rows").alias("rows_1"))
-    level = F.when(F.col("rows_0") >= LEAST_ROWS, 0).when(F.col("rows_1") >= LEAST_ROWS, 1).otherwise(2)
-    uses = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").withColumn("level", level)
-    uses = uses.select(
-        "lang",
-        "source",
-        "level",
-        F.when(F.col("level") < 2, F.col("lang")).otherwise("").alias("g_lang"),
-        F.when(F.col("level") < 1, F.col("source")).otherwise("").alias("g_source"),
-    )
-    taken = known.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    chosen = scratch.keep(uses.join(taken, ["level", "g_lang", "g_source"], "left").drop("level", "g_lang", "g_source"))
-    judged = with_distance(counts.join(chosen, ["lang", "source"], "left"))
+    known = estimates(cells, scratch).where("level = 0").drop("level")
+    judged = with_distance(counts.join(known, ["lang", "source"], "left"))
     cut = chi_square_quantile(PASS, len(STATISTICS))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) < cut)
     return judged.select(

@@ -77,3 +77,12 @@ def test_empty_table_and_plan(spark):
     assert found.count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_small_sources_are_judged_by_themselves(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, prose(rng, int(rng.integers(30, 120))), "en", "hot") for i in range(600)]
+    rows += [(600 + i, prose(rng, int(rng.integers(30, 120))).upper(), "en", "small") for i in range(60)]
+    rows += [(700 + i, " ".join(w + "###" for w in prose(rng, 60).upper().split()), "en", "small") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    assert {r["doc_id"] for r in quality.quality(docs).where("kept").collect()} == set(range(660))
