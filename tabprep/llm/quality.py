@@ -15,9 +15,10 @@ SPACE, WORD, SYMBOLS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Statistics are rounded to 1 / GRID.
 GRID = 32
-#: Share of a group that its estimate covers, concentration steps, rows of its language's estimate that are added to it,
+#: Share of a group that its estimate covers, part by which a determinant falls in a step that isn't the last, probability
+#: with which an ordinary text counts in the second estimate, rows of its language's estimate that are added to a group's,
 #: and the probability with which an ordinary text passes.
-COVER, STEPS, ADDED_ROWS, PASS = 0.75, 4, 10, 0.9999
+COVER, FALL, COUNTS, ADDED_ROWS, PASS = 0.5, 1e-3, 0.975, 10, 0.9999
 #: Distances are compared in steps of 1 / DISTANCE_GRID, up to DISTANCE_MOST.
 DISTANCE_GRID, DISTANCE_MOST = 16, 4096
 #: The transformed statistics, and the standard deviation that each has at least: prose varies so much even where most
@@ -136,12 +137,11 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return t.withColumn("distance", sum((F.col(f"y_{i}") ** 2 for i in range(len(STATISTICS))), F.lit(0.0)))
 
 
-def moment_sums() -> list[Column]:
-    n = F.col("n")
-    sums = [F.sum("n").alias("n")]
+def moment_sums(n: Column, prefix: str = "") -> list[Column]:
+    sums = [F.sum(n).alias(f"{prefix}n")]
     for i, a in enumerate(STATISTICS):
-        sums.append(F.sum(F.col(a) * n).alias(f"s_{i}"))
-        sums += [F.sum(F.col(a) * F.col(b) * n).alias(f"s_{i}_{j}") for j, b in enumerate(STATISTICS[: i + 1])]
+        sums.append(F.sum(F.col(a) * n).alias(f"{prefix}s_{i}"))
+        sums += [F.sum(F.col(a) * F.col(b) * n).alias(f"{prefix}s_{i}_{j}") for j, b in enumerate(STATISTICS[: i + 1])]
     return sums
 
 
@@ -159,31 +159,67 @@ def shrunk(sums: DataFrame) -> DataFrame:
     return found
 
 
+def starts(cells: DataFrame) -> DataFrame:
+    """Sums of each group for three starts: medians and their deviations over rows, these over distinct vectors, all rows' moments."""
+    p, group = len(STATISTICS), ["level", "lang", "source"]
+    weighed = cells.withColumn("of", F.explode(F.array(*[F.struct(F.lit(k).alias("start"), w.alias("w")) for k, w in enumerate((F.col("n"), F.lit(1).cast("long")))])))
+    weighed = weighed.select(*group, "of.start", "of.w", "n", *STATISTICS)
+    middles = weighed.groupBy(*group, "start").agg(F.sum("n").alias("n"), *[F.percentile(c, F.lit(0.5), F.col("w")).alias(f"q_{i}") for i, c in enumerate(STATISTICS)])
+    apart = weighed.drop("n").join(middles, [*group, "start"])
+    mads = [F.percentile(F.abs(F.col(c) - F.col(f"q_{i}")), F.lit(0.5), F.col("w")).alias(f"d_{i}") for i, c in enumerate(STATISTICS)]
+    spread = apart.groupBy(*group, "start").agg(F.first("n").alias("n"), *[F.first(f"q_{i}").alias(f"q_{i}") for i in range(p)], *mads)
+    sums = []
+    for i in range(p):
+        sums.append((F.col("n") * F.col(f"q_{i}")).alias(f"s_{i}"))
+        for j in range(i + 1):
+            own = (1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0)
+            sums.append((F.col("n") * (F.col(f"q_{i}") * F.col(f"q_{j}") + own)).alias(f"s_{i}_{j}"))
+    everything = cells.groupBy(*group, F.lit(2).alias("start")).agg(*moment_sums(F.col("n")))
+    return spread.select(*group, "start", "n", *sums).union(everything)
+
+
 def estimates(cells: DataFrame, scratch: Scratch) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group (columns level, lang, source) of weighted cells.
+    """The reweighted minimum-covariance-determinant estimate of each group (columns level, lang, source) of weighted cells.
 
-    It starts from coordinate-wise medians and quartiles; each concentration step
-    takes the COVER share of the group's rows that lie nearest and estimates anew.
+    From each start, concentration steps take the COVER share of the group's
+    rows that lie nearest and estimate anew, until no group's determinant falls;
+    rows at the limit count in part, so copies are not all taken in.  The least
+    determinant wins, and the rows that are near its estimate make the last one.
     Groups are shrunk at last, the more the fewer rows they have.
     """
     p, group = len(STATISTICS), ["level", "lang", "source"]
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q_{i}") for i, c in enumerate(STATISTICS)]
-    spread = cells.groupBy(*group).agg(F.sum("n").alias("n"), *quartiles)
-    mean = {f"s_{i}": F.col("n") * F.col(f"q_{i}")[1] for i in range(p)}
-    scale = {i: ((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2 for i in range(p)}
-    both = {
-        f"s_{i}_{j}": F.col("n") * (F.col(f"q_{i}")[1] * F.col(f"q_{j}")[1] + (scale[i] if i == j else 0)) for i in range(p) for j in range(i + 1)
-    }
-    known = scratch.keep(factored(spread.withColumns(mean | both).drop(*[f"q_{i}" for i in range(p)]), 1.0))
-    bound = chi_square_quantile(COVER, p)
-    factor = COVER / chi_square_below(bound, p + 2)
-    for _ in range(STEPS):
+    each = [*group, "start"]
+    names = ["n", *[x for i in range(p) for x in (f"s_{i}", *[f"s_{i}_{j}" for j in range(i + 1)])]]
+    factor = COVER / chi_square_below(chi_square_quantile(COVER, p), p + 2)
+    size = F.log(F.lit(1.0))
+    for i in range(p):
+        size = size + 2 * F.log(lower(i, i))
+    known = scratch.keep(factored(starts(cells), 1.0).withColumn("size", F.lit(math.inf)))
+    best = None
+    while True:
         binned = with_distance(cells.join(known, group)).withColumn("bin", F.least(F.floor(F.col("distance") * DISTANCE_GRID), F.lit(DISTANCE_MOST)))
-        limit = binned.groupBy(*group).agg(F.percentile("bin", F.lit(COVER), F.col("n")).alias("limit"))
-        near = binned.select(*group, *STATISTICS, "n", "bin").join(limit, group).where("bin <= limit")
-        sums = scratch.keep(near.groupBy(*group).agg(*moment_sums()))
-        known = factored(sums, factor)
-    return scratch.keep(factored(shrunk(sums), factor))
+        binned = binned.select(*each, *STATISTICS, "n", "bin")
+        limit = binned.groupBy(*each).agg(F.floor(F.percentile("bin", F.lit(COVER), F.col("n"))).alias("limit"), F.sum("n").alias("all"))
+        met = binned.join(limit, each)
+        part = lambda which: F.when(which, F.col("n")).otherwise(0)
+        sums = met.groupBy(*each).agg(
+            F.first("all").alias("all"), *moment_sums(part(F.col("bin") < F.col("limit")), "b_"), *moment_sums(part(F.col("bin") == F.col("limit")), "a_")
+        )
+        share = F.when(F.col("a_n") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (COVER * F.col("all") - F.col("b_n")) / F.col("a_n")))).otherwise(0.0)
+        sums = sums.withColumn("share", share).select(*each, *[(F.col(f"b_{c}") + F.col("share") * F.col(f"a_{c}")).alias(c) for c in names])
+        found = factored(sums, factor).withColumn("size", size)
+        before = known.select(*each, F.col("size").alias("before")) if best is None else best
+        known = scratch.keep(found.join(before, each))
+        best = known.select(*each, F.least("size", "before").alias("before"))
+        fell = known.where(F.col("size") < F.col("before") - FALL).limit(1).count()
+        known = known.drop("before")
+        if not fell:
+            break
+    chosen = known.groupBy(*group).agg(F.min_by("start", F.struct("size", "start")).alias("start"))
+    near = chi_square_quantile(COUNTS, p)
+    rows = with_distance(cells.join(known.join(chosen, each), group)).where(F.col("distance") <= near)
+    sums = scratch.keep(rows.groupBy(*group).agg(*moment_sums(F.col("n"))))
+    return scratch.keep(factored(shrunk(sums), COUNTS / chi_square_below(near, p + 2)))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -86,3 +86,13 @@ def test_small_sources_are_judged_by_themselves(spark):
     rows += [(700 + i, " ".join(w + "###" for w in prose(rng, 60).upper().split()), "en", "small") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
     assert {r["doc_id"] for r in quality.quality(docs).where("kept").collect()} == set(range(660))
+
+
+def test_copies_of_junk_are_a_third_of_a_source(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, prose(rng, int(rng.integers(30, 120))), "en", "web") for i in range(300)]
+    junk = " ".join(w + "#" for w in prose(rng, 60).split())
+    rows += [(300 + i, junk, "en", "web") for i in range(150)]
+    rows += [(500 + i, " ".join(w + "#" for w in prose(rng, 60).split()), "en", "web") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    assert {r["doc_id"] for r in quality.quality(docs).where("kept").collect()} == set(range(300))
