@@ -96,3 +96,15 @@ def test_copies_of_junk_are_a_third_of_a_source(spark):
     rows += [(500 + i, " ".join(w + "#" for w in prose(rng, 60).split()), "en", "web") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
     assert {r["doc_id"] for r in quality.quality(docs).where("kept").collect()} == set(range(300))
+
+
+def test_short_repeated_lines_alone_reject(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, prose(rng, int(rng.integers(30, 120))), "en", "web") for i in range(300)]
+    for i in range(300, 304):
+        menu = prose(rng, 30).split()
+        rows.append((i, "\n".join(str(x) for x in rng.choice(menu, 300)), "en", "web"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    found = quality.quality(docs).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if r["kept"]} == set(range(300))
