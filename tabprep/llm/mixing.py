@@ -124,8 +124,8 @@ def mix_plan(
 def mix(docs: DataFrame, seed: int = 29, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixture's rows, each as often as it is drawn, with the columns of ``docs``; shuffled within output shards.
 
-    Rows of a shard lie together, in several partitions if it is large, in the
-    order of a seeded hash.
+    Rows of a shard lie together, in several partitions that follow each other if
+    it is large, in the order of a seeded hash; small shards share a partition.
     """
     plan = mix_plan(docs, seed=seed, doc_id=doc_id, text=text, source=source, **options)
     drawn = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("shards").alias("__shards")).distinct()
@@ -133,4 +133,5 @@ def mix(docs: DataFrame, seed: int = 29, doc_id: str = "doc_id", text: str = "te
     met = keyed.join(drawn, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
     each = met.select(*[f"`{c}`" for c in docs.columns], "__h", F.posexplode("__shards").alias("__copy", "__shard"))
     order = F.xxhash64(F.lit(seed), F.col("__h"), F.col("__copy"), F.col("__shard"))
-    return each.withColumn("__order", order).sortWithinPartitions("__shard", "__order").select(*[f"`{c}`" for c in docs.columns])
+    dealt = each.withColumn("__order", order).repartitionByRange("__shard", "__order")
+    return dealt.sortWithinPartitions("__shard", "__order").select(*[f"`{c}`" for c in docs.columns])

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabprep.llm import mixing, sharding
 
@@ -98,3 +99,22 @@ def test_mixture_rows(spark):
     assert mixed.columns == docs.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: n for k, n in plan.items() if n})
     assert mixing.mix_plan(docs.limit(0)).count() == 0
+
+
+def test_mixture_lies_by_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    docs = spark.createDataFrame([(i, f"w{i} " * (5 + i % 30), "abc"[i % 3]) for i in range(400)], "doc_id long, text string, source string")
+    shard_of = {r["doc_id"]: r["shards"][0] for r in mixing.mix_plan(docs).collect() if len(set(r["shards"])) == 1}
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        mixed = mixing.mix(docs)
+        parts = [(r["part"], r["doc_id"]) for r in mixed.withColumn("part", F.spark_partition_id()).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    met = [shard_of[i] for _, i in parts if i in shard_of]
+    assert len({p for p, _ in parts}) > 1 and len(set(met)) > 4
+    assert met == sorted(met)
