@@ -24,6 +24,7 @@ def star(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (node, root) for the nodes of edges (a, b, long integers) other than roots; a root is its component's least node."""
+    first = scratch.made
     now, before = scratch.keep(edges.where("a <> b").distinct()), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -31,3 +32,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = tuple(state)
         now = scratch.keep(star(scratch.keep(star(now, scratch, True)), scratch, False))
+        scratch.forget(*range(first, scratch.made - 1))
+        first = scratch.made - 1

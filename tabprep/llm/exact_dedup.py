@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import free_names, own_columns, quoted
 from .ranks import attach
 from .scratch import Scratch
 
 #: A chunk ends after a sentence or line end, from MIN_CHUNK code points on; at MAX_CHUNK it ends anyway.
 MIN_CHUNK, MAX_CHUNK = 512, 8192
+#: Keys of eight bytes that are broadcast to find the rows in doubt.
+SHORT_KEYS = 1_000_000
 
 
 def chunk_pattern(smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) -> str:
@@ -76,23 +79,40 @@ def exact_groups(
     )
 
 
-def row_key(doc_id: Column, sha: Column) -> dict[str, Column]:
-    """Columns without nulls that tell rows apart by id and text hash; a null id is none of the others."""
-    return {"__k": F.coalesce(doc_id, F.lit(0)), "__z": doc_id.isNull(), "__h": sha}
+def row_key(doc_id: Column, sha: Column) -> Column:
+    """What tells rows apart by id and text hash, without nulls; a null id is none of the others."""
+    return F.struct(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), sha.alias("sha"))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id and text hash (columns doc_id, text_sha256) are in ``kept``, each once.
+def keep_rows(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = SHORT_KEYS) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are marked ``kept`` in ``judged``, each once.
 
-    The keys have no nulls, so the join and the choice among repeated rows share one shuffle of the texts.
+    ``judged`` has a row (doc_id, text_sha256, kept) for each row of ``docs``.
+    Rows in doubt are those whose 64-bit key is that of a row which goes, or of
+    another row.  If these keys are ``most`` at most, they are broadcast, all
+    other rows pass where they lie, and only rows in doubt are shuffled, to be
+    compared by their whole keys; beyond that all rows are.  All columns of
+    ``docs`` stay as they are, whatever their names.
     """
-    mark = kept.select(*[c.alias(n) for n, c in row_key(F.col("doc_id"), F.col("text_sha256")).items()]).distinct()
-    keyed = docs.withColumns(row_key(F.col(doc_id).cast("long"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    met = keyed.join(mark, ["__k", "__z", "__h"], "left_semi")
-    first = Window.partitionBy("__k", "__z", "__h").orderBy(F.lit(0))
-    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[f"`{c}`" for c in docs.columns])
+    whole, short = free_names(docs, "row_key", "short_key")
+    marks = judged.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(whole), "kept")
+    marks = marks.groupBy(F.xxhash64(whole).alias(short), whole).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marks = Scratch(docs.sparkSession, "rows").keep(marks)
+    doubt = marks.groupBy(short).agg(F.max((~F.col("kept") | (F.col("n") > 1))).alias("doubt")).where("doubt").select(short)
+    sha = F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256)
+    keyed = docs.withColumn(whole, row_key(F.col(quoted(doc_id)).cast("long"), sha))
+    keyed = keyed.withColumn(short, F.xxhash64(whole))
+    settled = None
+    if doubt.count() <= most:
+        settled = keyed.join(F.broadcast(doubt), short, "left_anti")
+        keyed = keyed.join(F.broadcast(doubt), short, "left_semi")
+    if not marks.where("kept AND n > 1").isEmpty():
+        keyed = keyed.dropDuplicates([short, whole])
+    met = keyed.join(marks.where("kept").select(short, whole).hint("shuffle_hash"), [short, whole], "left_semi")
+    met = met.select(*own_columns(docs))
+    return met if settled is None else settled.select(*own_columns(docs)).union(met)
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops; all columns stay."""
-    return keep_rows(docs, exact_groups(docs, doc_id, text).where("kept"), doc_id, text)
+    """``docs`` without the rows that :func:`exact_groups` drops; all columns stay, whatever their names."""
+    return keep_rows(docs, exact_groups(docs, doc_id, text), doc_id, text)

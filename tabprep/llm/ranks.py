@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: Keys of ``running`` are long integers from 0 to 2 ** KEY_BITS, exclusive.
 KEY_BITS = 52
 
-#: How many groups at most are salted in ``attach``, from how many rows on, and over how many salts.
-HOT_GROUPS, HOT_ROWS, SALTS = 256, 64, 64
+#: ``attach`` splits groups that have one in PARTS of all rows or more.  ``meet`` broadcasts tables of BROADCAST_ROWS rows at
+#: most, and deals rows over SALTS salts where the table is larger.
+PARTS, BROADCAST_ROWS, SALTS = 4096, 50_000, 64
 
 
 def hash_key(*parts: Column | str | int) -> Column:
@@ -20,6 +21,12 @@ def hash_key(*parts: Column | str | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - KEY_BITS)
 
 
+def digest_key(*parts: Column | str | int) -> Column:
+    """A uniform key for ``running`` from the given values without nulls, as 13 digits of an MD5 sum, which SQL engines share."""
+    text = F.concat_ws("|", *[F.lit(str(p)) if isinstance(p, (int, str)) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def running(
     table: DataFrame,
     group: list[str],
@@ -62,18 +69,35 @@ def running(
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, same: list[str] = ()) -> DataFrame:
-    """``rows`` with the columns of their group; ``groups`` has one row for each ``key`` (a long) and ``same``.
+    """``rows`` with the columns of their group; ``groups`` is a kept table with one row for each ``key`` (a long) and ``same``.
 
-    The largest groups (at most HOT_GROUPS keys reach the driver) are joined
-    salted: their rows are dealt by ``spread`` over SALTS salts and the group's
-    row is repeated for each, so a large group doesn't land in one task.
+    A group with one in PARTS of all rows or more is joined salted: its rows are
+    dealt by ``spread`` over as many salts as it has such parts, and its own row
+    is repeated for each.  There are PARTS such groups at most, whatever the
+    input, and no salt gets more than one in PARTS of all rows.
     """
-    large = groups.where(F.col(size) >= HOT_ROWS).orderBy(F.desc(size), key).limit(HOT_GROUPS)
-    hot = sorted({r[0] for r in large.select(key).collect()})
-    if not hot:
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    by_key = groups.groupBy(key).agg(F.sum(size).alias("_size"))
+    parts = F.ceil(F.col("_size") * PARTS / max(1, total)).cast("int")
+    # PARTS keys at most can have so many rows, so they can be broadcast
+    hot = by_key.select(key, parts.alias("_parts")).where("_parts > 1")
+    if hot.isEmpty():
         return rows.join(groups, [key, *same])
-    is_hot = F.col(key).isin(hot)
-    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = groups.withColumn("_salt", F.explode(salts))
+    whole = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), whole).cast("int")).drop("_parts")
+    copies = groups.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), whole - 1))).drop("_parts")
     return dealt.join(copies, [key, "_salt", *same]).drop("_salt")
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to the kept ``table``, which has one row for each ``keys`` (without nulls).
+
+    The table is broadcast if it has ``most`` rows or fewer.  Beyond that both
+    sides are shuffled, the rows dealt by ``spread`` over SALTS salts, as one key
+    may have a third of them, and the table's rows repeated for each salt.
+    """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), keys, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")

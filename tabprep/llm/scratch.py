@@ -36,8 +36,9 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def forget(self, number: int) -> None:
-        """Deletes the table written as the ``number``-th, once nothing reads it any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def forget(self, *numbers: int) -> None:
+        """Deletes the tables written as these, once nothing reads them any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for number in numbers:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number}")
+            path.getFileSystem(conf).delete(path, True)

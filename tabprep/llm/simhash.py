@@ -254,4 +254,4 @@ def hex_digits(fp: Column) -> Column:
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component of :func:`near_groups`, each once; all columns stay."""
     found = near_groups(docs, doc_id, text)
-    return keep_rows(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), doc_id, text)
+    return keep_rows(docs, found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), doc_id, text)
