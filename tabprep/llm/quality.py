@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted, row_fields, row_struct
+from .ranks import meet
 from .scratch import Scratch
 
 #: White space that ends words, words, and the characters counted as symbols.
@@ -19,8 +21,10 @@ GRID = 32
 #: with which an ordinary text counts in the second estimate, rows of its language's estimate that are added to a group's,
 #: and the probability with which an ordinary text passes.
 COVER, FALL, COUNTS, ADDED_ROWS, PASS = 0.5, 1e-3, 0.975, 10, 0.9999
-#: Distances are compared in steps of 1 / DISTANCE_GRID, up to DISTANCE_MOST.
-DISTANCE_GRID, DISTANCE_MOST = 16, 4096
+#: Distances are compared in so many steps for each doubling of 1 + distance.
+DISTANCE_STEPS = 8
+#: What is estimated for itself: languages and sources at level 0, languages at 1, the whole table at 2.
+GROUP = ("level", "lang", "source")
 #: The transformed statistics, and the standard deviation that each has at least: prose varies so much even where most
 #: of a group's texts are alike.  Repeated words have a wide floor, as a base rule limits them; repeated lines one that lets
 #: a text fail by them alone, as none does.
@@ -56,9 +60,9 @@ def text_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     A null text has no words.  Windows of WINDOW words are compared by hashes of
     their words' hashes, and the words themselves where hashes agree.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
     kept = list(carry or {})
-    t = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *[c.alias(n) for n, c in (carry or {}).items()], body.alias("body"))
+    t = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), *[c.alias(n) for n, c in (carry or {}).items()], body.alias("body"))
     t = t.select(
         "doc_id",
         *kept,
@@ -120,128 +124,134 @@ def lower(i: int, j: int) -> str:
 def factored(moments: DataFrame, factor: float) -> DataFrame:
     """Adds means m_i and the Cholesky factor l_i_j of ``factor`` times the covariance plus the floors, from sums n, s_i, s_i_j."""
     p, floors = len(STATISTICS), [(x * GRID) ** 2 for x in FLOORS.values()]
-    t = moments.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(p)})
-    for i in range(p):
-        for j in range(i + 1):
-            cov = (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * factor + (floors[i] if i == j else 0)
-            rest = cov - sum((F.col(lower(i, k)) * F.col(lower(j, k)) for k in range(j)), F.lit(0.0))
-            t = t.withColumn(lower(i, j), F.sqrt(F.greatest(rest, F.lit(floors[i] / 4))) if i == j else rest / F.col(lower(j, j)))
-    return t.select(*moments.columns[: moments.columns.index("n")], *[f"m_{i}" for i in range(p)], *[lower(i, j) for i in range(p) for j in range(i + 1)])
+    before = moments.columns[: moments.columns.index("n")]
+    found = {f"m_{i}": f"s_{i} / n" for i in range(p)}
+    for j in range(p):
+        for i in range(j, p):
+            # an entry of the factor needs those before it alone, which SQL's later columns may refer to
+            rest = f"(s_{i}_{j} / n - m_{i} * m_{j}) * {factor!r}D" + (f" + {floors[i]!r}D" if i == j else "")
+            rest += "".join(f" - {lower(i, k)} * {lower(j, k)}" for k in range(j))
+            found[lower(i, j)] = f"sqrt(greatest({rest}, {floors[j] / 4!r}D))" if i == j else f"({rest}) / {lower(j, j)}"
+    return moments.selectExpr(*before, *[f"{x} AS {k}" for k, x in found.items()])
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
     """Adds ``distance``, the squared Mahalanobis distance of the statistics from the row's estimate."""
-    t = rows
+    parts = []
     for i, name in enumerate(STATISTICS):
-        rest = F.col(name) - F.col(f"m_{i}") - sum((F.col(lower(i, k)) * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
-        t = t.withColumn(f"y_{i}", rest / F.col(lower(i, i)))
-    return t.withColumn("distance", sum((F.col(f"y_{i}") ** 2 for i in range(len(STATISTICS))), F.lit(0.0)))
+        rest = f"{name} - m_{i}" + "".join(f" - {lower(i, k)} * y_{k}" for k in range(i))
+        parts.append(f"({rest}) / {lower(i, i)} AS y_{i}")
+    return rows.selectExpr("*", *parts, " + ".join(f"y_{i} * y_{i}" for i in range(len(STATISTICS))) + " AS distance")
 
 
-def moment_sums(n: Column, prefix: str = "") -> list[Column]:
-    sums = [F.sum(n).alias(f"{prefix}n")]
+def moments(n: str) -> dict[str, str]:
+    """SQL of the sums n, s_i, s_i_j of the statistics and their products over rows that count ``n`` times."""
+    sums = {"n": f"sum({n})"}
     for i, a in enumerate(STATISTICS):
-        sums.append(F.sum(F.col(a) * n).alias(f"{prefix}s_{i}"))
-        sums += [F.sum(F.col(a) * F.col(b) * n).alias(f"{prefix}s_{i}_{j}") for j, b in enumerate(STATISTICS[: i + 1])]
+        sums[f"s_{i}"] = f"sum({a} * {n})"
+        sums |= {f"s_{i}_{j}": f"sum({a} * {b} * {n})" for j, b in enumerate(STATISTICS[: i + 1])}
     return sums
 
 
+def summed(rows: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.expr(x).alias(k) for k, x in sums.items()])
+
+
 def shrunk(sums: DataFrame) -> DataFrame:
     """The sums of each language with ADDED_ROWS rows like the whole table's, and of each source with as many like its language's."""
-    names = [c for c in sums.columns if c not in ("level", "lang", "source")]
-    found = sums.where("level = 2")
-    above = found
-    for level in (1, 0):
-        up = above.select(F.col("lang").alias("up"), *[(F.col(c) * ADDED_ROWS / F.col("n")).alias(f"up_{c}") for c in names])
-        own = sums.where(F.col("level") == level).withColumn("up", F.col("lang") if level == 0 else F.lit(""))
-        mixed = [(F.col(c) + F.coalesce(F.col(f"up_{c}"), F.lit(0.0))).alias(c) for c in names]
-        above = own.join(up, "up", "left").select("level", "lang", "source", *mixed)
+    names = [c for c in sums.columns if c not in GROUP]
+    found = above = sums.where("level = 2")
+    for level, up in ((1, "''"), (0, "lang")):
+        parents = above.selectExpr("lang AS up", *[f"{c} * {ADDED_ROWS} / n AS up_{c}" for c in names])
+        own = sums.where(f"level = {level}").selectExpr("*", f"{up} AS up")
+        above = own.join(parents, "up", "left").selectExpr(*GROUP, *[f"{c} + coalesce(up_{c}, 0D) AS {c}" for c in names])
         found = found.union(above)
     return found
 
 
+def medians(cells: DataFrame) -> DataFrame:
+    """Rows (level, lang, source, start, q_i, d_i): medians and median deviations over rows (start 0) and distinct vectors (1).
+
+    Values of one statistic are counted first, so what meets in a task is a count
+    for each value that a statistic takes in a group, not the group's cells.
+    """
+    of = ", ".join([*GROUP, "start", "which"])
+    counts = cells.selectExpr(*GROUP, "n", f"posexplode(array({', '.join(STATISTICS)})) AS (which, value)")
+    counts = counts.groupBy(*GROUP, "which", "value").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("vectors"))
+    t = counts.selectExpr(*GROUP, "which", "value", "posexplode(array(rows, vectors)) AS (start, w)")
+    for value, found in (("value", "q"), ("abs(value - q)", "d")):
+        upto = f"sum(w) OVER (PARTITION BY {of} ORDER BY {value})"
+        t = t.selectExpr("*", f"CASE WHEN 2 * {upto} >= sum(w) OVER (PARTITION BY {of}) THEN {value} END AS reached")
+        t = t.selectExpr("*", f"min(reached) OVER (PARTITION BY {of}) AS {found}").drop("reached")
+    picked = [f"max(CASE WHEN which = {i} THEN {c} END) AS {c}_{i}" for i in range(len(STATISTICS)) for c in "qd"]
+    return t.groupBy(*GROUP, "start").agg(*[F.expr(x) for x in picked])
+
+
 def starts(cells: DataFrame) -> DataFrame:
     """Sums of each group for three starts: medians and their deviations over rows, these over distinct vectors, all rows' moments."""
-    p, group = len(STATISTICS), ["level", "lang", "source"]
-    weighed = cells.withColumn("of", F.explode(F.array(*[F.struct(F.lit(k).alias("start"), w.alias("w")) for k, w in enumerate((F.col("n"), F.lit(1).cast("long")))])))
-    weighed = weighed.select(*group, "of.start", "of.w", "n", *STATISTICS)
-    middles = weighed.groupBy(*group, "start").agg(F.sum("n").alias("n"), *[F.percentile(c, F.lit(0.5), F.col("w")).alias(f"q_{i}") for i, c in enumerate(STATISTICS)])
-    apart = weighed.drop("n").join(middles, [*group, "start"])
-    mads = [F.percentile(F.abs(F.col(c) - F.col(f"q_{i}")), F.lit(0.5), F.col("w")).alias(f"d_{i}") for i, c in enumerate(STATISTICS)]
-    spread = apart.groupBy(*group, "start").agg(F.first("n").alias("n"), *[F.first(f"q_{i}").alias(f"q_{i}") for i in range(p)], *mads)
-    sums = []
-    for i in range(p):
-        sums.append((F.col("n") * F.col(f"q_{i}")).alias(f"s_{i}"))
-        for j in range(i + 1):
-            own = (1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0)
-            sums.append((F.col("n") * (F.col(f"q_{i}") * F.col(f"q_{j}") + own)).alias(f"s_{i}_{j}"))
-    everything = cells.groupBy(*group, F.lit(2).alias("start")).agg(*moment_sums(F.col("n")))
-    return spread.select(*group, "start", "n", *sums).union(everything)
+    sums = ["1D AS n"]
+    for i in range(len(STATISTICS)):
+        sums.append(f"double(q_{i}) AS s_{i}")
+        sums += [f"q_{i} * q_{j}" + (f" + power(1.4826D * d_{i}, 2)" if i == j else " + 0D") + f" AS s_{i}_{j}" for j in range(i + 1)]
+    everything = summed(cells.selectExpr(*GROUP, "2 AS start", *STATISTICS, "n AS rows"), [*GROUP, "start"], moments("rows"))
+    return medians(cells).selectExpr(*GROUP, "start", *sums).union(everything)
+
+
+def concentrated(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Sums over the COVER share of each group's rows that lie nearest to its estimate, for each start.
+
+    Moments are summed by steps of distance, whose number is bounded; the step at
+    the limit counts in part, so copies there are not all taken in.
+    """
+    each = [*GROUP, "start"]
+    rings = with_distance(meet(cells.withColumnRenamed("n", "rows"), known, list(GROUP), list(STATISTICS)))
+    rings = rings.selectExpr(*each, *STATISTICS, "rows", f"floor(log2(1 + distance) * {DISTANCE_STEPS}) AS step")
+    sums = moments("rows")
+    rings = summed(rings, [*each, "step"], sums)
+    whole = f"PARTITION BY {', '.join(each)}"
+    rings = rings.selectExpr("*", f"{COVER!r}D * sum(n) OVER ({whole}) - sum(n) OVER ({whole} ORDER BY step) + n AS open")
+    rings = rings.selectExpr(*each, *sums, "greatest(0D, least(1D, open / n)) AS part")
+    # whole steps are sums of whole numbers and one step at most is a part, so the order of rows changes nothing
+    return summed(rings, each, {c: f"sum(CASE WHEN part = 1 THEN {c} ELSE 0 END) + coalesce(max(CASE WHEN part > 0 AND part < 1 THEN part * {c} END), 0D)" for c in sums})
 
 
 def estimates(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """The reweighted minimum-covariance-determinant estimate of each group (columns level, lang, source) of weighted cells.
 
     From each start, concentration steps take the COVER share of the group's
-    rows that lie nearest and estimate anew, until no group's determinant falls;
-    rows at the limit count in part, so copies are not all taken in.  The least
-    determinant wins, and the rows that are near its estimate make the last one.
-    Groups are shrunk at last, the more the fewer rows they have.
+    rows that lie nearest and estimate anew, until no group's determinant falls.
+    The least determinant wins, and the rows that are near its estimate make the
+    last one.  Groups are shrunk at last, the more the fewer rows they have.
     """
-    p, group = len(STATISTICS), ["level", "lang", "source"]
-    each = [*group, "start"]
-    names = ["n", *[x for i in range(p) for x in (f"s_{i}", *[f"s_{i}_{j}" for j in range(i + 1)])]]
+    p, each, first = len(STATISTICS), [*GROUP, "start"], scratch.made
     factor = COVER / chi_square_below(chi_square_quantile(COVER, p), p + 2)
-    size = F.log(F.lit(1.0))
-    for i in range(p):
-        size = size + 2 * F.log(lower(i, i))
-    known = scratch.keep(factored(starts(cells), 1.0).withColumn("size", F.lit(math.inf)))
-    best = None
+    size = " + ".join(f"2 * ln({lower(i, i)})" for i in range(p)) + " AS size"
+    known = scratch.keep(factored(starts(cells), 1.0).selectExpr("*", "double('infinity') AS size", "double('infinity') AS best"))
     while True:
-        binned = with_distance(cells.join(known, group)).withColumn("bin", F.least(F.floor(F.col("distance") * DISTANCE_GRID), F.lit(DISTANCE_MOST)))
-        binned = binned.select(*each, *STATISTICS, "n", "bin")
-        limit = binned.groupBy(*each).agg(F.floor(F.percentile("bin", F.lit(COVER), F.col("n"))).alias("limit"), F.sum("n").alias("all"))
-        met = binned.join(limit, each)
-        part = lambda which: F.when(which, F.col("n")).otherwise(0)
-        sums = met.groupBy(*each).agg(
-            F.first("all").alias("all"), *moment_sums(part(F.col("bin") < F.col("limit")), "b_"), *moment_sums(part(F.col("bin") == F.col("limit")), "a_")
-        )
-        share = F.when(F.col("a_n") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (COVER * F.col("all") - F.col("b_n")) / F.col("a_n")))).otherwise(0.0)
-        sums = sums.withColumn("share", share).select(*each, *[(F.col(f"b_{c}") + F.col("share") * F.col(f"a_{c}")).alias(c) for c in names])
-        found = factored(sums, factor).withColumn("size", size)
-        before = known.select(*each, F.col("size").alias("before")) if best is None else best
-        known = scratch.keep(found.join(before, each))
-        best = known.select(*each, F.least("size", "before").alias("before"))
-        fell = known.where(F.col("size") < F.col("before") - FALL).limit(1).count()
+        found = factored(concentrated(cells, known.drop("size", "best")), factor).selectExpr("*", size)
+        found = found.join(known.select(*each, F.col("best").alias("before")), each)
+        known = scratch.keep(found.selectExpr("*", "least(size, before) AS best"))
+        fell = not known.where(f"size < before - {FALL!r}D").isEmpty()
         known = known.drop("before")
+        scratch.forget(*range(first, scratch.made - 1))
+        first = scratch.made - 1
         if not fell:
             break
-    chosen = known.groupBy(*group).agg(F.min_by("start", F.struct("size", "start")).alias("start"))
+    chosen = known.groupBy(*GROUP).agg(F.min_by(F.struct(*[c for c in known.columns if c not in GROUP]), F.struct("size", "start")).alias("of"))
+    chosen = scratch.keep(chosen.select(*GROUP, "of.*"))
     near = chi_square_quantile(COUNTS, p)
-    rows = with_distance(cells.join(known.join(chosen, each), group)).where(F.col("distance") <= near)
-    sums = scratch.keep(rows.groupBy(*group).agg(*moment_sums(F.col("n"))))
+    rows = with_distance(meet(cells.withColumnRenamed("n", "rows"), chosen, list(GROUP), list(STATISTICS))).where(f"distance <= {near!r}D")
+    sums = scratch.keep(summed(rows, list(GROUP), moments("rows")))
     return scratch.keep(factored(shrunk(sums), COUNTS / chi_square_below(near, p + 2)))
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per input row: doc_id, the counts, base_failed, distance, kept, text_sha256.
+def judged(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, lang: str, source: str, carry: dict[str, Column]) -> DataFrame:
+    """The counts of each row and ``carry``, with the estimate of its language and source, distance and verdict.
 
-    Texts that fail no base rule are judged by the Mahalanobis distance of their
-    transformed statistics from the minimum-covariance-determinant estimate of
-    their language and source, to which ADDED_ROWS rows like their language's
-    are added, and to those as many like the whole table's.  A text is kept if
-    the distance is below the chi-square quantile of PASS.
-
-    Statistics are rounded to a grid, and equal vectors of a group are counted,
-    not listed, so the estimate's tables hardly grow with the input, its sums
-    are exact and its results don't depend on the order of rows.  Null languages
-    and sources are groups like others; a null text has no words.  Repeated rows
-    get equal verdicts.
+    No row is shuffled unless there are more languages and sources than ``meet`` broadcasts.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    counts = text_counts(docs, doc_id, text, {"lang": name(lang), "source": name(source), "text_sha256": sha})
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit(""))
+    counts = text_counts(docs, doc_id, text, {"lang": name(lang), "source": name(source)} | carry)
     counts = scratch.keep(counts.withColumns({"base_failed": base_failed()} | statistics()))
     cells = counts.where("not base_failed").groupBy("lang", "source", *STATISTICS).agg(F.count(F.lit(1)).alias("n"))
     levels = F.array(
@@ -251,18 +261,36 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     )
     cells = cells.select(F.explode(levels).alias("g"), *STATISTICS, "n").groupBy("g.level", "g.lang", "g.source", *STATISTICS).agg(F.sum("n").alias("n"))
     cells = scratch.keep(cells)
-    known = estimates(cells, scratch).where("level = 0").drop("level")
-    judged = with_distance(counts.join(known, ["lang", "source"], "left"))
+    known = scratch.keep(estimates(cells, scratch).where("level = 0").drop("level"))
     cut = chi_square_quantile(PASS, len(STATISTICS))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) < cut)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", *STATISTICS, "text_sha256"
-    )
+    return with_distance(meet(counts, known, ["lang", "source"], ["doc_id", "word_chars"], "left")).withColumn("kept", kept)
+
+
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per input row: doc_id, the counts, base_failed, kept, distance and the statistics on their grid.
+
+    Texts that fail no base rule are judged by the Mahalanobis distance of their
+    transformed statistics from the minimum-covariance-determinant estimate of
+    their language and source, to which ADDED_ROWS rows like their language's
+    are added, and to those as many like the whole table's.  A text is kept if
+    the distance is below the chi-square quantile of PASS.
+
+    Statistics are rounded to a grid, and equal vectors of a group are counted,
+    not listed, so the estimate's tables hardly grow with the input, its sums
+    are exact and its results don't depend on the order of rows.  Null languages
+    and sources are groups like others; a null or empty text has no words and
+    fails.  Very long texts are read whole.  Repeated rows get equal verdicts; an
+    empty table gives no rows.  Ids must be whole numbers.
+    """
+    found = judged(docs, Scratch(docs.sparkSession, "quality"), doc_id, text, lang, source, {})
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", *STATISTICS)
 
 
 def quality_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps; all columns and repeated rows stay."""
-    mark = quality(docs, doc_id, text, lang, source).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept")).distinct()
-    keyed = docs.withColumns({"__k": F.col(doc_id).cast("long"), "__h": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
-    met = keyed.join(mark, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__sha")), "left_semi")
-    return met.select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that :func:`quality` keeps; all columns and repeated rows stay, whatever the columns' names.
+
+    The rows are written once beside their counts and judged where they lie.
+    """
+    found = judged(docs, Scratch(docs.sparkSession, "quality"), doc_id, text, lang, source, {"row": row_struct(docs)})
+    return found.where("kept").select(*row_fields(docs, "row"))
