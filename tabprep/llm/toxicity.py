@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted
 from .scratch import Scratch
 
 #: White space between words; what stands for a word's begin and end, and for these two where a text has them.
@@ -17,15 +18,15 @@ SPACE, BEGIN, END, RARE = r"[\x20\x09-\x0D]+", "\x02", "\x03", "\x1a"
 MARKS = f"[{BEGIN}{END}]"
 #: Grams of the longest order, and entries of a part of the model: the tasks hold one part at a time.
 ORDER, PART_ENTRIES = 6, 500_000
-#: Share of the pooled model in the toxic one, as toxic texts are ordinary language for the most part; and the factor up
-#: to which the classes' probabilities count as equal, as languages and sources differ between the classes by chance.
-POOLED, EQUAL = 0.5, 2.0
-#: One in SLICE of the training rows calibrates the score, if it has CALIBRATE rows of either class.
+#: The share of a toxic text's words that come from the toxic model: such texts are ordinary language for the most part.
+TOXIC_SHARE = 0.01
+#: Words' values are whole numbers of 1 / UNIT, so sums don't depend on the order of words; words in a task's dictionary at
+#: most; and labelled texts that are broadcast at most.
+UNIT, DICTIONARY, LABEL_ROWS = 1 << 32, 400_000, 500_000
+#: One in SLICE of the training texts calibrates the score, if it has CALIBRATE texts of either class.
 SLICE, CALIBRATE = 8, 10
-#: Steps in which length-normalised differences are counted for the calibration, and their limit.
-STEPS, LIMIT = 10_000, 5
-#: Distinct words whose differences a task remembers, and how long they may be.
-CACHE_ENTRIES, CACHE_BYTES = 400_000, 40
+#: Steps in which values are counted for the calibration, and their limit.
+STEPS, LIMIT = 1_000_000, 1
 
 
 def fold(doc_id: Column) -> Column:
@@ -48,13 +49,13 @@ def tail(c: str = "gram") -> Column:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows (word, toxic, ordinary) from rows (text, label); the text is lower-cased."""
-    words = rows.select(F.explode(F.array_remove(F.split("text", SPACE), "")).alias("word"), "label")
+    """Rows (word, toxic, ordinary) from rows (words, label), a text's distinct words: how many texts of a class have the word."""
+    words = rows.select(F.explode("words").alias("word"), "label")
     return words.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
 
 def gram_counts(words: DataFrame, rare: str, order: int) -> DataFrame:
-    """Rows (gram, toxic, ordinary): how often its last letter follows its others, which reach back to the word's begin at most."""
+    """Rows (gram, toxic, ordinary): in how many texts' words its last letter follows its others, which reach back to the word's begin at most."""
     whole = F.concat(F.lit(BEGIN), F.regexp_replace("word", rare, RARE), F.lit(END))
     spelled = words.select(whole.alias("w"), "toxic", "ordinary")
     ends = F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end")
@@ -101,12 +102,12 @@ def pooled(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
 
 
 def differences(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
-    """Rows (gram, weight): by how much the last letter is likelier in toxic text than in ordinary, as a logarithm.
+    """Rows (gram, weight): the logarithm of how much likelier the last letter is in the toxic model than in the ordinary one.
 
     Behind a context both classes set aside what the pooled counts do and back
     off to the same shorter context, so a letter that is new there weighs
     nothing.  The rest follows the class's discounted counts, completed from the
-    pooled ones.  Weights within the logarithm of EQUAL are left out.
+    pooled ones.
     """
     table = scratch.keep(pooled(counts, scratch, order).withColumn("context", head()))
     discounts = {name: discount(table, name) for name in ("toxic", "ordinary")}
@@ -119,12 +120,8 @@ def differences(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
         total = F.greatest(F.col(f"total_{name}"), F.lit(1))
         own = F.greatest(F.col(name) - d, F.lit(0.0)) / total
         rest = F.when(F.col(f"total_{name}") > 0, F.col(f"taken_{name}") / total).otherwise(1.0)
-        mixed = own + rest * F.col("pool")
-        if name == "toxic":
-            mixed = (1 - POOLED) * mixed + POOLED * F.col("pool")
-        likely[name] = (1 - F.col("reserved")) * mixed + F.col("reserved") * F.col("low")
-    weights = t.select("gram", F.log(likely["toxic"] / likely["ordinary"]).alias("weight"))
-    return weights.where(F.abs("weight") > math.log(EQUAL))
+        likely[name] = (1 - F.col("reserved")) * (own + rest * F.col("pool")) + F.col("reserved") * F.col("low")
+    return t.select("gram", F.log(likely["toxic"] / likely["ordinary"]).alias("weight"))
 
 
 def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -140,101 +137,159 @@ def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def one_pass(docs: DataFrame, model: dict[str, float], order: int, last: bool) -> DataFrame:
-    """``docs`` with the texts' differences by ``model`` added to ``total``; or, at last, with ``value``, their mean a letter, instead of text and total."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in (("text", "total") if last else ("total",))]
-    added = "value" if last else "total"
+def median(rows: list[tuple[float, int]]) -> float:
+    """The least value up to which half of the counts lie."""
+    rows, half, met = sorted(rows), sum(n for _, n in rows) / 2, 0
+    for x, n in rows:
+        met += n
+        if met >= half:
+            return x
+    return 0.0
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
 
-        def of_word(word: bytes) -> float:
-            w = BEGIN + word.decode() + END
-            total = 0.0
-            for i in range(1, len(w)):
-                total += weights.get(w[max(0, i - order + 1) : i + 1], 0.0)
-            return total
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> float:
-                value = of_word(word)
-                if len(word) <= CACHE_BYTES and len(self) < CACHE_ENTRIES:
-                    self[word] = value
-                return value
-
-        known = Words()
+def one_pass(words: DataFrame, model: dict[str, float], order: int) -> DataFrame:
+    """The rows (word, n, total) with the words' weights by ``model`` added to ``total``."""
+    sent = words.sparkSession.sparkContext.broadcast(model)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = sent.value
         for batch in batches:
             out = []
-            for text, before in zip(batch.column("text"), batch.column("total").to_pylist(), strict=True):
-                words = text.as_py().split()
-                total = before + math.fsum(map(known.__getitem__, words))
-                letters = sum(map(len, words)) + len(words)
-                out.append(total if not last else total / letters if letters else 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.float64())], [*names, added])
+            for word, total in zip(batch.column("word").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                w = BEGIN + word + END
+                for i in range(1, len(w)):
+                    total += weights.get(w[max(0, i - order + 1) : i + 1], 0.0)
+                out.append(total)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.float64())], ["word", "n", "total"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.mapInArrow(score, f"{kinds}, {added} double")
+    return words.select("word", "n", "total").mapInArrow(add, "word string, n long, total double")
 
 
-def scored(docs: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
-    """``docs`` (columns doc_id, text and more, text prepared) with ``value`` for the text: the mean difference a letter.
+def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
+    """Rows (word, n, value) of the distinct words: the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
 
-    The kept table ``weights`` is dealt into parts of about PART_ENTRIES grams;
-    each passes over the texts once, so the whole model counts and a task holds
-    one part.
+    In a toxic text TOXIC_SHARE of the words come from the toxic model and the
+    others from the ordinary one, so a word's likelihood there is a mixture.  The
+    kept table ``weights`` is dealt into parts of about PART_ENTRIES grams; each
+    passes over the distinct words once, so the whole model counts and a task
+    holds one part.
     """
     parts = max(1, math.ceil(weights.count() / PART_ENTRIES))
-    t = docs.withColumn("total", F.lit(0.0))
+    t = words.withColumn("total", F.lit(0.0))
     for k in range(parts):
         part = weights.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()
-        model = dict(zip(part.column("gram").to_pylist(), part.column("weight").to_pylist(), strict=True))
-        t = one_pass(t, model, order, k == parts - 1)
-        if k < parts - 1:  # or the tasks would hold the next part too
-            t = scratch.keep(t)
-            if k:
-                scratch.forget(scratch.made - 2)
-    return t
-
+        t = scratch.keep(one_pass(t, dict(zip(part.column("gram").to_pylist(), part.column("weight").to_pylist(), strict=True)), order))
+        if k:
+            scratch.forget(scratch.made - 2)
+    mixed = F.log1p(TOXIC_SHARE * F.expm1(F.least("total", F.lit(100.0))))
+    return scratch.keep(t.select("word", "n", F.round(mixed * UNIT).cast("long").alias("value")))
+
+
+def common_words(values: DataFrame) -> tuple[dict[bytes, int], int]:
+    """The values of the words that occur most, DICTIONARY at most, and how often a word must occur to be one of them."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(map(tuple, values.groupBy(step.alias("step")).count().collect()), reverse=True)  # a row for each eighth of a doubling
+    least, held = None, 0
+    for at, number in sizes:
+        held += number
+        if held > DICTIONARY:
+            break
+        least = at
+    if least is None:
+        return {}, 1 << 62
+    known = values.where(step >= least).select(F.col("word").cast("binary").alias("word"), "value").toArrow()
+    return dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist(), strict=True)), 0 if least == sizes[-1][0] else least
+
+
+def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (doc_id, text_key, value) of rows (doc_id, text_key, text): the mean value of the text's words, 0 if it has none.
+
+    Common words have their values in a dictionary of bounded size in every
+    task; the others are few of a text's words, and each is in few texts, so they
+    meet their values in a join.
+    """
+    known, least = common_words(values)
+    sent = texts.sparkSession.sparkContext.broadcast(known)
 
-def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER) -> DataFrame:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sent.value
+        for batch in batches:
+            totals, sizes, rest = [], [], []
+            for text in batch.column("text"):
+                words = text.as_py().split()
+                met = list(map(found.get, words))
+                if None in met:
+                    rest.append([w for w, v in zip(words, met, strict=True) if v is None])
+                    met = [v for v in met if v is not None]
+                else:
+                    rest.append([])
+                totals.append(sum(met))
+                sizes.append(len(words))
+            columns = [batch.column("doc_id"), batch.column("text_key"), batch.column("row"), pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "row", "total", "words", "rest"])
+
+    given = texts.select("doc_id", "text_key", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    t = scratch.keep(given.mapInArrow(look_up, "doc_id long, text_key long, row long, total long, words long, rest array<binary>"))
+    total = F.col("total")
+    if least:
+        each = t.select("row", F.explode(F.col("rest").cast("array<string>")).alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+        rare = values.where(F.floor(F.log2("n") * 8) < least).select("word", "value") if least < 1 << 62 else values.select("word", "value")
+        more = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+        t = t.join(more, "row", "left")
+        total = total + F.coalesce("more", F.lit(0))
+    return t.select("doc_id", "text_key", F.when(F.col("words") > 0, total / F.col("words") / UNIT).otherwise(0.0).alias("value"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER, label_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Each class has a Kneser-Ney model of letters in words, over all labelled rows
-    outside fold 1; both back off to one model of their pooled counts.  A text's value is the difference of its log-likelihoods over its length; a
-    logistic curve, fitted on a slice of the training rows that is kept out of the
-    models, turns it into the score.
-
-    All letters are told apart and the order is the same for any input.  The
-    model is sent to the tasks in parts of a bounded size, each of which passes
-    over the texts.  Null and empty texts have value 0.  An id labelled more than
-    once is toxic if one label says so; null labels are left out.  Without
-    training rows of both classes every score is the toxic share (0 if none).
+    Each class has a Kneser-Ney model of the letters in words, over all labelled
+    rows outside fold 1; both back off to one model of their pooled counts.  A
+    gram counts once for each distinct text with a word that has it, so copies
+    and repetition in a text weigh nothing.  A text's value is the difference of
+    its toxic and ordinary log-likelihoods over its number of words, where a word
+    of a toxic text comes from the toxic model with probability TOXIC_SHARE and
+    else from the ordinary one.  A logistic curve over the value's order of
+    size, fitted on a slice of the training texts that is kept out of the models,
+    turns it into the score.
+
+    All letters, all grams and all words count, and the order is the same for any
+    input.  Distinct words are valued once; the texts are read once for that and
+    once for their scores.  Null and empty texts have value 0; very long ones are
+    read whole.  An id labelled more than once is toxic if one label says so,
+    and so is a text; null labels and ids are left out.  Repeated rows get equal
+    scores.  Without training rows of both classes every score is the toxic share
+    (0 if none).  An empty table gives no rows.  Ids must be whole numbers.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxic")
-    ident = F.col(doc_id).cast("long")
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    marks = marks.agg(F.max(label).cast("int").alias("label")).where(fold(F.col("doc_id")) != 1)
-    lowered = docs.select(ident.alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    training = lowered.join(marks, "doc_id")
-    slice_ = F.pmod(F.xxhash64(F.lit(SLICE), F.col("doc_id")), F.lit(SLICE)) == 0
-    sizes = {(r["calibrates"], r["label"]): r["count"] for r in marks.groupBy(slice_.alias("calibrates"), "label").count().collect()}
-    apart = min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE
-    words = scratch.keep(word_counts(training.where(~slice_) if apart else training))
-    counts = scratch.keep(gram_counts(words, MARKS, order))
-    weights = scratch.keep(differences(counts, scratch, order))
-    prepared = lambda rows: rows.withColumn("text", F.regexp_replace("text", MARKS, RARE).cast("binary"))
-    curve = (0.0, -math.inf)
-    both = all(any(label == k for _, label in sizes) for k in (0, 1))
-    if both:
-        trial = scored(prepared(training.where(slice_) if apart else training), weights, scratch, order)
-        bins = trial.groupBy(F.round(F.least(F.greatest("value", F.lit(-LIMIT)), F.lit(LIMIT)) * STEPS).alias("bin"), "label").count().collect()
-        curve = logistic([(r["bin"] / STEPS, r["label"], r["count"]) for r in sorted(bins)])
-    elif sizes:
-        curve = (0.0, math.inf if any(label == 1 for _, label in sizes) else -math.inf)
-    slope, intercept = curve
-    chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("value") + F.lit(intercept)))) if both else F.lit(1.0 if intercept > 0 else 0.0)
-    out = scored(prepared(lowered), weights, scratch, order).withColumn("score", chance)
+    scratch = Scratch(docs.sparkSession, "toxic")
+    ident, mark_id = F.col(quoted(doc_id)).cast("long"), F.col(quoted(label_id)).cast("long")
+    marks = labels.where(F.col(quoted(label)).isNotNull() & mark_id.isNotNull()).groupBy(mark_id.alias("doc_id"))
+    marks = scratch.keep(marks.agg(F.max(quoted(label)).cast("int").alias("label")).where(fold(F.col("doc_id")) != 1))
+    text_ = F.regexp_replace(F.lower(F.coalesce(F.col(quoted(text)), F.lit(""))), MARKS, RARE)
+    texts = docs.select(ident.alias("doc_id"), text_.alias("text")).withColumn("text_key", F.xxhash64("text"))
+    small = lambda t: F.broadcast(t) if t.count() <= LABEL_ROWS else t
+    # one document stands for each distinct labelled text
+    of_text = texts.select("doc_id", "text_key").join(small(marks), "doc_id").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    of_text = scratch.keep(of_text.withColumn("apart", F.pmod(F.xxhash64(F.lit(SLICE), "text_key"), F.lit(SLICE)) == 0))
+    sizes = {(r["apart"], r["label"]): r["count"] for r in of_text.groupBy("apart", "label").count().collect()}
+    apart = F.col("apart") if min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE else F.lit(False)
+    training = scratch.keep(of_text.where(~apart).select("doc_id", "text_key", "label"))
+    distinct = F.array_distinct(F.array_remove(F.split("text", SPACE), ""))
+    words = texts.where(fold(F.col("doc_id")) != 1).select("doc_id", "text_key", distinct.alias("words")).join(small(training), ["doc_id", "text_key"])
+    words = scratch.keep(word_counts(words.select("words", "label")))
+    weights = scratch.keep(differences(scratch.keep(gram_counts(words, MARKS, order)), scratch, order))
+    every = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    values = scratch.keep(text_values(texts, word_values(scratch.keep(every), weights, scratch, order), scratch))
+    score = F.lit(1.0 if sizes and all(k for _, k in sizes) else 0.0)
+    if {k for _, k in sizes} == {0, 1}:
+        fitting = of_text.where("apart") if min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE else of_text
+        met = values.groupBy("text_key").agg(F.first("value").alias("value")).join(fitting, "text_key")
+        bins = met.groupBy(F.round(F.least(F.greatest("value", F.lit(-LIMIT)), F.lit(LIMIT)) * STEPS).alias("bin"), "label").count().collect()
+        rows = [(r["bin"] / STEPS, r["label"], r["count"]) for r in sorted(bins)]
+        middle = median([(x, n) for x, _, n in rows])
+        spread = max(1 / STEPS, median([(abs(x - middle), n) for x, _, n in rows]))
+        # toxic texts' values are far above the others' and far apart, so the curve is one of their order of size
+        slope, intercept = logistic([(math.asinh((x - middle) / spread), y, n) for x, y, n in rows])
+        score = 1 / (1 + F.exp(-(F.lit(slope) * F.asinh((F.col("value") - middle) / spread) + F.lit(intercept))))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return values.withColumn("score", score).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

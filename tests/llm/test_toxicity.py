@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,3 +92,70 @@ def test_letters_of_large_scripts_are_told_apart(spark):
     marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     held = [r for r in toxicity.toxicity(docs, marks).collect() if r["held_out"]]
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) > 0.95
+
+
+def brute_values(texts, labels, order):
+    """Kneser-Ney letter models of both classes over distinct texts, from the definitions, and each word's value."""
+    grams = [Counter(), Counter()]
+    for k in (0, 1):
+        texts_of = Counter(w for t in {t for t, y in zip(texts, labels, strict=True) if y == k} for w in set(t.split()))
+        for w, n in texts_of.items():
+            s = "\x02" + w + "\x03"
+            for e in range(1, len(s)):
+                grams[k][s[max(0, e - order + 1) : e + 1]] += n
+    known = grams[0] + grams[1]
+    shorter, level = {}, [g for g in known if len(g) == order]
+    for k in range(order - 1, 0, -1):
+        shorter[k] = Counter(g[1:] for g in level)
+        level = [*shorter[k], *[g for g in known if len(g) == k]]
+
+    def cut(counts):
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+    def smoothed(counts, below):
+        d, out = cut(counts), {}
+        for g, n in counts.items():
+            same = [m for h, m in counts.items() if h[:-1] == g[:-1]]
+            reserved, low = d * len(same) / sum(same), below[g[1:]] if below else 1 / len(same)
+            out[g] = (n / sum(same), reserved, low, max(n - d, 0) / sum(same) + reserved * low)
+        return out
+
+    probability, below = {}, None
+    for k in range(1, order):
+        below = {g: x[3] for g, x in smoothed(shorter[k], below).items()}
+        probability |= below
+    cuts, log_ratio = [cut(g) for g in grams], {}
+    for g, (pool, reserved, low, _) in smoothed(known, probability).items():
+        likely = []
+        for k in (0, 1):
+            same = [m for h, m in grams[k].items() if h[:-1] == g[:-1]]
+            own, rest = max(grams[k][g] - cuts[k], 0) / max(1, sum(same)), sum(min(m, cuts[k]) for m in same) / sum(same) if same else 1
+            likely.append((1 - reserved) * (own + rest * pool) + reserved * low)
+        log_ratio[g] = math.log(likely[1] / likely[0])
+
+    def value(word):
+        s = "\x02" + word + "\x03"
+        total = sum(log_ratio.get(s[max(0, e - order + 1) : e + 1], 0) for e in range(1, len(s)))
+        return math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * math.exp(total))
+
+    return value
+
+
+@pytest.mark.parametrize("dictionary", [0, 3, 10_000])
+def test_values_match_brute_force(spark, monkeypatch, dictionary):
+    monkeypatch.setattr(toxicity, "DICTIONARY", dictionary)
+    texts = ["abba cab abba", "cab bad deed", "bad egg", "egg bag abba", "deed cab", "bad egg", "gab"]
+    labels = [0, 0, 1, 0, 1, 1, 1]
+    counts = spark.createDataFrame([(t.split(), y) for t, y in sorted(set(zip(texts, labels, strict=True)))], "words array<string>, label int")
+    counts = toxicity.word_counts(counts.selectExpr("array_distinct(words) AS words", "label"))
+    scratch = Scratch(spark, "test")
+    weights = scratch.keep(toxicity.differences(toxicity.gram_counts(counts, toxicity.MARKS, 3), scratch, 3))
+    asked = [*texts, "bagged unknown egg", "", " bad  bad\tbad "]
+    words = spark.createDataFrame(list(Counter(w for t in asked for w in t.split()).items()), "word string, n long")
+    values = toxicity.word_values(words, weights, scratch, 3)
+    given = spark.createDataFrame([(i, i, t) for i, t in enumerate(asked)], "doc_id long, text_key long, text string")
+    found = {r["doc_id"]: r["value"] for r in toxicity.text_values(given, values, scratch).collect()}
+    value = brute_values(texts, labels, 3)
+    for i, t in enumerate(asked):
+        assert found[i] == pytest.approx(np.mean([value(w) for w in t.split()]) if t.split() else 0, abs=1e-8)
