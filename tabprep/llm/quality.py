@@ -161,7 +161,8 @@ def shrunk(sums: DataFrame) -> DataFrame:
     """The sums of each language with ADDED_ROWS rows like the whole table's, and of each source with as many like its language's."""
     names = [c for c in sums.columns if c not in GROUP]
     found = above = sums.where("level = 2")
-    for level, up in ((1, "''"), (0, "lang")):
+    # all languages have one parent, named by an empty part of theirs, so that both levels are equality joins
+    for level, up in ((1, "substring(lang, 1, 0)"), (0, "lang")):
         parents = above.selectExpr("lang AS up", *[f"{c} * {ADDED_ROWS} / n AS up_{c}" for c in names])
         own = sums.where(f"level = {level}").selectExpr("*", f"{up} AS up")
         above = own.join(parents, "up", "left").selectExpr(*GROUP, *[f"{c} + coalesce(up_{c}, 0D) AS {c}" for c in names])
