@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.columns import quoted
 from ..functions.measures import fill, leading_number, leading_unit
 from ..operators.families import is_numeric, is_text
+from ..sources.parquet import without_nan
 from .profile import profile
 
 #: Metadata columns, text measures and the guarded number of a food catalogue.
@@ -31,6 +32,7 @@ class CleanerModel(Model):
         self.kept, self.fills, self.measures, self.non_negative, self.any_digits = kept, fills, measures, non_negative, any_digits
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        dataset = without_nan(dataset)
         filled = {c: fill(quoted(c), self.fills[c]) if c in self.fills else quoted(c) for c in self.kept}
         extracted = {}
         for name in self.measures:
@@ -64,7 +66,7 @@ class Cleaner(Estimator):
     mean and text with its most frequent value (the smallest of equals), but for
     columns in ``exclude``; extract number and unit of the ``measures``; keep rows
     whose extracted numbers are above 0 and whose ``non_negative`` columns are 0 or
-    more.  Filled cells count in the last steps.
+    more.  Filled cells count in the last steps.  NaN counts as missing throughout.
 
     Raises if a measure or guarded column is absent, too sparse, or of the wrong
     type.  Tables without rows or text columns are cleaned like any other.
@@ -84,7 +86,7 @@ class Cleaner(Estimator):
         self.settings = Settings(tuple(drop), sparse, tuple(measures), tuple(non_negative), frozenset(required), frozenset(exclude), any_digits)
 
     def _fit(self, dataset: DataFrame) -> CleanerModel:
-        s = self.settings
+        s, dataset = self.settings, without_nan(dataset)
         names = [c for c in dataset.columns if c not in s.drop]
         known = profile(dataset, names)
         dense = [c for c in names if c in s.required or known.null_fraction(c) < s.sparse]

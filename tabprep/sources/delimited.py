@@ -82,18 +82,21 @@ def read_delimited(
     bad_lines: str = "error",
     encoding: str = "UTF-8",
     infer: bool = True,
+    folder: str | None = None,
 ) -> DataFrame:
     """A table from delimited text with a header line; compressed files are read by their suffix.
 
-    Short lines are padded.  Lines with too many fields raise an error, or are
-    left out with ``bad_lines="skip"``; only then is the first ``limit`` of rows
-    taken.  Quotes may hold separators, line breaks and doubled quotes, so a file
-    isn't split; convert large files once to Parquet.  Cells in NULL_TOKENS are
+    Short lines are padded.  Lines with too many fields are left out with
+    ``bad_lines="skip"``, before the first ``limit`` of rows is taken; else they
+    raise an error, those beyond ``limit`` excepted, as nothing is read there.
+    Quotes may hold separators, line breaks and doubled quotes, so a file isn't
+    split; convert large files once to Parquet.  Files from the web are fetched
+    into ``folder``, see :func:`staged`.  Cells in NULL_TOKENS are
     missing.  Names may repeat; see :func:`unique_names`.
     """
     if bad_lines not in ("error", "skip"):
         raise ValueError(f"bad_lines is 'error' or 'skip', not {bad_lines!r}")
-    path = staged(spark, location)
+    path = staged(spark, location, folder)
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     head = spark.read.options(header=False, **options).csv(path).first()
     names = unique_names([f"_c{i}" if x is None else x for i, x in enumerate(head or [])])
@@ -104,7 +107,8 @@ def read_delimited(
     separators = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
     long_line = F.coalesce(F.col(CORRUPT).isNotNull() & (separators >= len(names)), F.lit(False))
     if bad_lines == "error":
-        bad = rows.select("*", long_line.alias("bad")).where("bad").head(1)
+        looked_at = rows if limit is None else rows.limit(limit)
+        bad = looked_at.select("*", long_line.alias("bad")).where("bad").head(1)
         if bad:
             raise ValueError(f"a line of {path} has more than {len(names)} fields: {bad[0][CORRUPT][:200]!r}")
     # Spark refuses to read the record alone, so a cell is always looked at

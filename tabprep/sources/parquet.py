@@ -25,8 +25,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return without_nan(spark.read.parquet(path))
 
 
-def read_split(spark: SparkSession, split: str, files: Mapping[str, str], base: str = "") -> DataFrame:
+def read_split(spark: SparkSession, split: str, files: Mapping[str, str], base: str = "", folder: str | None = None) -> DataFrame:
     """One of several named Parquet files of a data set, such as ``{"food": "food.parquet"}`` below ``base``."""
     if split not in files:
         raise KeyError(f"no split {split!r}; there are {', '.join(sorted(files))}")
-    return read_parquet(spark, staged(spark, base.rstrip("/") + "/" + files[split] if base else files[split]))
+    return read_parquet(spark, staged(spark, base.rstrip("/") + "/" + files[split] if base else files[split], folder))

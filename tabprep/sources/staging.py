@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import urllib.request
+import uuid
 from urllib.parse import urlparse
 
-from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 
-def staged(spark: SparkSession, location: str) -> str:
-    """A path that Spark can read: http(s) and ftp locations are fetched to every node, others returned as they are."""
+def staged(spark: SparkSession, location: str, folder: str | None = None) -> str:
+    """A path that Spark can read: http(s) and ftp locations are fetched once into ``folder``, others returned as they are.
+
+    All executors must reach the folder; it may be one of any file system that
+    Spark knows.  Without one, ``spark.checkpoint.dir`` names it.
+    """
     parts = urlparse(location)
     if parts.scheme not in ("http", "https", "ftp"):
         return location
-    spark.sparkContext.addFile(location)
-    return "file://" + SparkFiles.get(parts.path.rsplit("/", 1)[-1])
+    folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/fetched-{uuid.uuid4().hex}/{parts.path.rsplit('/', 1)[-1]}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    try:
+        with urllib.request.urlopen(location) as source:
+            while block := source.read(1 << 20):
+                out.write(block)
+    finally:
+        out.close()
+    return path.toString()

@@ -68,3 +68,11 @@ def test_stream_of_files(spark, tmp_path):
         df.write.mode("append").parquet(source)
         clean_files(spark, model, df.schema, source, target, str(tmp_path / "seen")).awaitTermination(120)
         assert spark.read.parquet(target).count() == (part + 1) * model.transform(df).count()
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan, "a"), (nan, nan, "a"), (3.0, 1.0, None), (2.0, nan, "b")], "x double, sparse double, t string")
+    model = Cleaner(measures=(), non_negative=("x",)).fit(df)
+    assert model.kept == ["x", "t"]
+    assert sorted(r["x"] for r in model.transform(df).collect()) == [1.0, 2.0, 2.0, 3.0]

@@ -74,3 +74,35 @@ def test_parquet(spark, tmp_path):
     with pytest.raises(KeyError, match="beauty"):
         read_split(spark, "beauty", {"food": "food.parquet"})
     assert staged(spark, path) == path
+
+
+def test_files_from_the_web(spark, tmp_path):
+    """A server on this machine stands for the web."""
+    import gzip
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    (tmp_path / "web").mkdir()
+    with gzip.open(tmp_path / "web" / "t.tsv.gz", "wt", encoding="utf-8") as f:
+        f.write("a\tb\n1\tx\n2\té\n")
+    quiet = type("Quiet", (SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(quiet, directory=str(tmp_path / "web")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/t.tsv.gz"
+        df = read_delimited(spark, url, limit=2, folder=f"file://{tmp_path}/shared")
+        assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, "x"), (2, "é")]
+        assert list((tmp_path / "shared").glob("fetched-*/t.tsv.gz"))
+        assert read_delimited(spark, url).count() == 2
+    finally:
+        server.shutdown()
+
+
+def test_a_bad_line_beyond_the_limit_is_not_looked_at(spark, tmp_path):
+    path = tmp_path / "t.tsv"
+    path.write_text("a\tb\n1\t2\n3\t4\n5\t6\t7\n")
+    assert read_delimited(spark, str(path), limit=2).count() == 2
+    with pytest.raises(ValueError, match="more than 2"):
+        read_delimited(spark, str(path), limit=3)
+    assert read_delimited(spark, str(path), limit=3, bad_lines="skip").count() == 2
