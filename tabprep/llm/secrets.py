@@ -15,20 +15,27 @@ BASE = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # a run of these letters is one match, so shorter ones need not be looked at
 }
 #: Candidate strings, and per character class: its strings, alphabet, window and least bits a character.
+#: A candidate is of the first class that fits.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SIGNS = "+/=_-"
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = {
-    "entropy_hex": (r"^[0-9A-Fa-f]+$", "0123456789abcdef", 20, 3.0),
-    "entropy_base64": (r"[^0-9A-Fa-f]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 24, 4.0),
+    "entropy_hex": (r"^[0-9A-Fa-f]+$", DIGITS + LOWER[:6], 20, 3.0),
+    "entropy_lower": (r"^[^A-Z]+$", LOWER + DIGITS + SIGNS, 20, 3.5),
+    "entropy_upper": (r"^[^a-z]+$", UPPER + DIGITS + SIGNS, 20, 3.5),
+    "entropy_base64": (r"", UPPER + LOWER + DIGITS + SIGNS, 20, 3.7),
 }
-#: Strings that are no secrets however mixed: single kinds of letters, words and numbers, identifiers, examples, alphabets.
+#: Whole candidates that are no secrets however mixed: numbers, words of the letters a to f, identifiers.
 ALLOW = (
-    r"^[^0-9]+$",
     r"^[^A-Za-z]+$",
-    r"^(?=.*[^0-9A-Fa-f])[^a-z]+$",
-    r"^(?=.*[^0-9A-Fa-f])[^A-Z]+$",
+    r"^[A-Fa-f]+$",
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|abcdefgh|01234567|12345678",
 )
+#: Where a stretch changes between small letters, capitals and digits; a capital that begins a word counts once.  Words, camel
+#: case, slugs and dates change seldom: a stretch outside hex with fewer changes than one in CHANGE_EVERY letters is allowed.
+CHANGE, CHANGE_EVERY = r"(?<=[a-z])[A-Z]|(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]", 6
+#: Words of examples.  Standing alone in a candidate they belong to no secret; joined to a stretch they allow it.
+EXAMPLES = ("example", "sample", "placeholder", "changeme", "dummy", "abcdefgh", "01234567", "12345678")
 KINDS = (*BASE, *CLASSES)
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Matches whose lengths are added up together.
@@ -119,24 +126,49 @@ def dense_windows(text: Column, alphabet: str, window: int, bits: float) -> Colu
         hit = (seen >= window) & (total <= most + 1e-9)
         return F.struct(counts.alias("counts"), total.alias("sum"), seen.alias("seen"), F.when(hit, joined).otherwise(a["found"]).alias("found"))
 
-    return F.aggregate(steps, zero, step, lambda a: a["found"])
+    # where even the most mixed window of the letters present stays below the bound, none is looked at
+    return F.when(F.size(F.array_distinct(place)) >= math.ceil(2**bits - 1e-9), F.aggregate(steps, zero, step, lambda a: a["found"])).otherwise(none)
+
+
+def without_examples(text: Column) -> Column:
+    """The text with example words that stand alone blanked by as many signs, which no dense window spans."""
+    for word in EXAMPLES:
+        text = F.regexp_replace(text, f"(?i)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", "-" * len(word))
+    return text
+
+
+def allowed_stretch(text: Column, kind: str, s: Column) -> Column:
+    """Whether a stretch is like words, or an example word has a letter in it."""
+    body = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    seldom = F.lit(False) if kind == "entropy_hex" else F.regexp_count(body, F.lit(CHANGE)) * CHANGE_EVERY < F.length(body)
+    for word in EXAMPLES:
+        first = F.greatest(s["start"] - (len(word) - 1), F.lit(0))
+        seldom = seldom | F.contains(F.lower(F.substring(text, first + 1, s["end"] + len(word) - 1 - first)), F.lit(word))
+    return seldom
+
+
+def not_allowed(text: Column, kind: str) -> Callable[[Column], Column]:
+    return lambda s: ~allowed_stretch(text, kind, s)
 
 
 def entropy_spans(base: Column) -> Column:
-    """Spans of high entropy in the candidate strings of column parts_candidate that no allow-list entry suppresses and that overlap no base span."""
+    """Spans of high entropy in the candidates of column parts_candidate that the allow-list leaves and base spans cover less than half of."""
 
     def of_candidate(m: Column) -> Column:
-        start = m["end"] - F.length(m["text"])
         found = F.array().cast(SPAN)
         for kind, (shape, alphabet, window, bits) in reversed(CLASSES.items()):
             text = F.lower(m["text"]) if kind == "entropy_hex" else m["text"]
-            spans = F.transform(dense_windows(text, alphabet, window, bits), shifted(start, kind))
-            found = F.when(m["text"].rlike(shape), spans).otherwise(found)
+            dense = F.filter(dense_windows(text, alphabet, window, bits), not_allowed(m["text"], kind))
+            found = F.when(m["text"].rlike(shape), F.transform(dense, shifted(m["start"], kind))).otherwise(found)
         return found
 
+    def covered(s: Column) -> Column:
+        common = lambda b: F.least(b["end"], s["end"]) - F.greatest(b["start"], s["start"])
+        return F.exists(base, lambda b: 2 * common(b) >= s["end"] - s["start"])
+
     open_ = F.filter(matches("parts_candidate", CANDIDATE), lambda m: ~m["text"].rlike("|".join(f"(?:{p})" for p in ALLOW)))
-    new = F.flatten(F.transform(open_, of_candidate))
-    return F.filter(new, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    known = F.transform(open_, lambda m: F.struct(without_examples(m["text"]).alias("text"), (m["end"] - F.length(m["text"])).alias("start")))
+    return F.filter(F.flatten(F.transform(known, of_candidate)), lambda s: ~covered(s))
 
 
 def listed(spans: Column) -> Column:
@@ -151,8 +183,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Base kinds are shapes of secrets, matched leftmost and without overlap.  The
     entropy kinds add stretches of candidate strings in which sliding windows are
     as mixed as random letters of their class.  Places are code points, ends
-    exclusive.  A null text counts as empty; texts without spans get empty lists.
-    All rows are scanned where they lie: nothing is shuffled.
+    exclusive.  An added span that a base span covers by half or more is left out,
+    as the secret is already listed.  A null text counts as empty; texts without spans get empty lists.
+    Repeated rows give a row each, an empty table gives none, and other columns
+    are not read.  All rows are scanned where they lie: nothing is shuffled.
     """
     t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     patterns = {k: v[0] for k, v in BASE.items()} | {"candidate": CANDIDATE}

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -29,22 +30,40 @@ def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
+def kinds_change(s):
+    kind = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s"
+    return sum((kind(a) + kind(b)) in ("lu", "ld", "ud", "dl", "du") for a, b in zip(s, s[1:], strict=False))
+
+
+def class_of(s):
+    if all(c in "0123456789abcdefABCDEF" for c in s):
+        return "entropy_hex"
+    return "entropy_lower" if s == s.lower() else "entropy_upper" if s == s.upper() else "entropy_base64"
+
+
 def brute_added(text, base):
     out = []
     for m in re.finditer(secrets.CANDIDATE, text):
         if any(re.search(p, m[0]) for p in secrets.ALLOW):
             continue
-        kind = "entropy_hex" if re.fullmatch("[0-9A-Fa-f]+", m[0]) else "entropy_base64"
+        body = m[0]
+        for word in secrets.EXAMPLES:
+            body = re.sub(f"(?i)(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", "-" * len(word), body)
+        kind, spans = class_of(body), []
         _, _, window, bits = secrets.CLASSES[kind]
-        body, spans = m[0].lower() if kind == "entropy_hex" else m[0], []
-        for i in range(len(body) - window + 1):
-            if entropy(body[i : i + window]) >= bits - 1e-9:
+        letters = body.lower() if kind == "entropy_hex" else body
+        for i in range(len(letters) - window + 1):
+            if entropy(letters[i : i + window]) >= bits - 1e-9:
                 if spans and spans[-1][1] >= i:
                     spans[-1][1] = i + window
                 else:
                     spans.append([i, i + window])
-        out += [(m.start() + a, secrets.KINDS.index(kind), m.start() + b) for a, b in spans]
-    return [s for s in out if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        examples = [(e.start(), e.end()) for w in secrets.EXAMPLES for e in re.finditer(f"(?={w})", body.lower()) for e in [re.compile(w).match(body.lower(), e.start())]]
+        for a, b in spans:
+            seldom = kind != "entropy_hex" and 6 * kinds_change(body[a:b]) < b - a
+            if not seldom and not any(x < b and a < y for x, y in examples):
+                out.append((m.start() + a, secrets.KINDS.index(kind), m.start() + b))
+    return [s for s in out if not any(2 * (min(b[2], s[2]) - max(b[0], s[0])) >= s[2] - s[0] for b in base)]
 
 
 def listed(spans):
@@ -66,6 +85,37 @@ def test_matches_brute_force(spark, shuffled):
     assert rows[TEXTS.index(f"key {RANDOM}EXAMPLE end")]["spans"] == ""
 
 
+#: Keys of each class with what a scan without base shapes must find, and strings that must stay unlisted.
+KEYS = [
+    ("key-t8z3kq0w5ynx2v7m1rj4hc9pb6sd0gfa", "entropy_lower"), ("JBSW7Y3DP5QK4ZN2RX6LHT3MVC5GAE7U", "entropy_upper"),
+    ("qWzRkYtVxLbNsMdHgJfPcQaEuT", "entropy_base64"), ("Zk3vQ9xR7bT2nLw5Ms8Yd", "entropy_base64"), ("sample/q7Rk2ZxV9bTn4LwMs8Yd3HcJf6GpQ1aE", "entropy_base64"),
+]
+PLAIN = [
+    "AbstractSingletonProxyFactoryBean", "how-to-build-a-house-in-2024-with-10-steps", "MAXIMUM_NUMBER_OF_CONNECTIONS_2", "donaudampfschifffahrtsgesellschaft",
+    "assets/images/2023/12/banner_large", "2024-01-31_2024-02-29_2024-03-31", "deadbeefcafebabedeadbeefcafe", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+]
+
+
+def test_classes_of_keys_and_plain_words(spark):
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([k for k, _ in KEYS] + PLAIN)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    for i, (text, kind) in enumerate(KEYS):
+        assert found[i].startswith(kind), (text, found[i])
+        assert found[i] == listed(brute_added(f"x {text} y", []))
+    for i, text in enumerate(PLAIN, len(KEYS)):
+        assert found[i] == "", (text, found[i])
+
+
+def test_random_strings_against_brute_force(spark):
+    rng = random.Random(5)
+    alphabets = [x[1] for x in secrets.CLASSES.values()] + ["ab1", "aB", "abcdefghij/"]
+    texts = [".".join("".join(rng.choices(rng.choice(alphabets), k=rng.randint(15, 60))) + rng.choice(["", "Sample", "/dummy/", "=01234567"]) for _ in range(6)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in secrets.scan(docs).collect():
+        base = brute_base(texts[r["doc_id"]])
+        assert r["spans"] == listed(base + brute_added(texts[r["doc_id"]], base)), texts[r["doc_id"]]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
