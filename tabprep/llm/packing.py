@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -20,7 +21,14 @@ from .scratch import Scratch
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 NUMBERS = "0-9²³¹¼-¾"
 PLAIN = re.compile(f"[\t-\r -~¡-įı-ſ]*")
-#: The file's own split rule, within those characters.
+#: The normalizer, split rule and merging of the files whose texts can be split here.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = (
+    {"type": "Split", "pattern": {"Regex": SPLIT_RULE}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+)
+#: That split rule within the plain characters.
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 #: Parts of texts whose ids each worker process remembers, and how long they may be.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
@@ -34,19 +42,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def splits_here(path: str) -> bool:
+    """Whether the file lower-cases and splits as :func:`encoder` does for plain texts, and adds nothing afterwards."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    steps = lambda part, name: tuple((given.get(part) or {}).get(name, ()))
+    same = steps("normalizer", "normalizers") == NORMALIZERS and steps("pre_tokenizer", "pretokenizers") == PRE_TOKENIZERS
+    whole = not any(given.get(x) for x in ("truncation", "padding")) and not given["model"].get("dropout")
+    return same and whole and given["model"]["type"] == "BPE"
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit integers, as the file's tokenizer gives them.
 
-    Texts of plain Latin characters are lower-cased and split by the file's own
-    rule here, its merges give each part's ids, and a process remembers those of
-    short parts.  Any other text, or one with a special token's string, goes to
-    the tokenizer as a whole.
+    Where the file has the known normalizer and split rule, texts of plain Latin
+    characters are lower-cased and split here, its merges give each part's ids,
+    and a process remembers those of short parts.  Any other text, one with a
+    special token's string, and all texts of other files go to the tokenizer as a
+    whole.
     """
     if path in _encoders:
         return _encoders[path]
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    here = splits_here(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     letters = dict(enumerate(byte_letters()))
     merge = tok.model.tokenize
@@ -62,7 +82,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     parts = Parts()
 
     def encode(text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in special):
+        if not here or not PLAIN.fullmatch(text) or any(s in text for s in special):
             return pack(tok.encode(text, add_special_tokens=False).ids)
         return b"".join(map(parts.__getitem__, SPLIT.findall(text.lower())))
 

@@ -38,6 +38,17 @@ def test_ids_of_every_plain_character(tokenizer):
             assert encode(text) == struct.pack(f"<{len(ids)}I", *ids), (code, text)
 
 
+def test_ids_of_another_file():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.encoder(path)
+    assert packing.splits_here(tokenizer_path()) and not packing.splits_here(path)
+    for text in TEXTS:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
 def item_by_item(lengths, capacity):
     bins, used = [], 0
     for length in sorted(lengths, reverse=True):
