@@ -45,9 +45,12 @@ class TableProfile:
 ROW = "column string, rows long, non_null long, distinct long, mean double, mode string, low long, high long, float_error double"
 
 
-def profile(df: DataFrame, only: Iterable[str] | None = None) -> TableProfile:
+def profile(df: DataFrame, only: Iterable[str] | None = None, counts_only: bool = False) -> TableProfile:
     """Profiles columns in one action.
 
+    With ``counts_only`` rows and non-null cells alone are counted, by partial
+    aggregates of one narrow pass; the other fields stay None.
+
     One aggregate over the table covers counts, means, ranges and rounding errors.
     Text columns are unpivoted to (column, value) and counted by value, from which
     distinct counts and modes (the smallest of the most frequent values) follow;
@@ -56,19 +59,19 @@ def profile(df: DataFrame, only: Iterable[str] | None = None) -> TableProfile:
     """
     wanted = list(df.columns if only is None else only)
     kinds = {f.name: f.dataType for f in df.schema}
-    text = [c for c in wanted if is_text(kinds[c])]
+    text = [] if counts_only else [c for c in wanted if is_text(kinds[c])]
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, name in enumerate(wanted):
         c, kind = quoted(name), kinds[name]
         aggregates.append(F.count(c).alias(f"n{i}"))
         parts = {"mean": "CAST(NULL AS DOUBLE)", "low": "CAST(NULL AS BIGINT)", "high": "CAST(NULL AS BIGINT)", "float_error": "CAST(NULL AS DOUBLE)"}
-        if is_numeric(kind):
+        if is_numeric(kind) and not counts_only:
             aggregates.append(F.avg(c).cast("double").alias(f"mean{i}"))
             parts["mean"] = f"mean{i}"
-        if isinstance(kind, T.LongType):
+        if isinstance(kind, T.LongType) and not counts_only:
             aggregates += [F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}")]
             parts |= {"low": f"low{i}", "high": f"high{i}"}
-        if isinstance(kind, T.DoubleType):
+        if isinstance(kind, T.DoubleType) and not counts_only:
             narrow = c.cast("float").cast("double")
             aggregates.append(F.max(F.when(narrow == c, F.lit(0.0)).otherwise(F.abs(narrow - c))).alias(f"error{i}"))
             parts["float_error"] = f"error{i}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,9 @@ from .operators.shrink import shrink_plan as plan_of
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
 from .plans.profile import profile
+from .sources.delimited import read_delimited
 from .sources.parquet import read_parquet
+from .sources.staging import shared_folder
 
 #: A view of ``events`` with the missing cells that the test tables lack; both engines read the same text.
 DIRTY = """
@@ -49,6 +52,13 @@ def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders")
 
 
+def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``customer`` written as tab-separated text, read by the rules for such text and typed by its values."""
+    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").write.options(sep="\t", header=True, escape='"').csv(path)
+    return read_delimited(spark, path)
+
+
 def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").orderBy("c_custkey").limit(5)
 
@@ -103,7 +113,7 @@ def drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = profile(dirty(spark, sf_dir))
+    known = profile(dirty(spark, sf_dir), counts_only=True)
     rows = [(c, round(known.null_fraction(c), 4)) for c in known.columns]
     return spark.createDataFrame(rows, "column string, null_fraction double")
 
@@ -210,7 +220,7 @@ def float_sql(column: str, source: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        scan_table, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
+        scan_table, scan_delimited, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
         column_types, fill_mean, fill_mode, mode_values, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
@@ -219,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL = {
     "scan_table": "SELECT * FROM orders",
+    "scan_delimited": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "head_rows": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",
     "first_n_rows": "SELECT * FROM events ORDER BY event_id LIMIT 1000",
     "wide_numeric_columns": "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",

@@ -136,3 +136,11 @@ def test_catalogue(spark, capsys):
     held.show(1)
     assert "update_t" in capsys.readouterr().out
     assert held.head(1).count() == 1
+
+
+def test_counts_only(spark):
+    df = spark.createDataFrame([(1, "a", 1.5), (None, None, 2.0), (3, None, None)], "n long, `t.x` string, d double")
+    known = profile(df, counts_only=True)
+    assert known.rows == 3 and {c: p.non_null for c, p in known.columns.items()} == {"n": 2, "t.x": 1, "d": 2}
+    assert all(p.distinct is p.mean is p.mode is p.low is p.float_error is None for p in known.columns.values())
+    assert profile(df.where("n < 0"), counts_only=True).null_fraction("d") == 0.0

@@ -4,6 +4,7 @@ import pytest
 
 from tabprep.sources import NULL_TOKENS, read_delimited, read_parquet, read_split, staged
 from tabprep.sources.delimited import unique_names
+from tabprep.sources.staging import shared_folder
 
 LINES = 'a\tb\tc\tn\tx\tflag\td\n1\t"a ""q"" b"\tu\t1\t0.5\tTrue\t2024-01-01\nlong\t1\t2\t3\t4\t5\t6\t7\n2\tshort\n3\t"two\nlines\tin"\tw\t4\tinf\tFalse\t2024-01-02\n\n'
 
@@ -106,3 +107,8 @@ def test_a_bad_line_beyond_the_limit_is_not_looked_at(spark, tmp_path):
     with pytest.raises(ValueError, match="more than 2"):
         read_delimited(spark, str(path), limit=3)
     assert read_delimited(spark, str(path), limit=3, bad_lines="skip").count() == 2
+
+
+def test_shared_folder(spark, tmp_path):
+    assert shared_folder(spark, f"{tmp_path}/") == str(tmp_path)
+    assert shared_folder(spark)
