@@ -251,7 +251,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     of a toxic text comes from the toxic model with probability TOXIC_SHARE and
     else from the ordinary one.  A logistic curve over the value's order of
     size, fitted on a slice of the training texts that is kept out of the models,
-    turns it into the score.
+    turns it into the score.  Both classes are taken as equally likely beforehand,
+    so the score compares likelihoods and doesn't follow the share of toxic labels.
 
     All letters, all grams and all words count, and the order is the same for any
     input.  Distinct words are valued once; the texts are read once for that and
@@ -290,6 +291,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         spread = max(1 / STEPS, median([(abs(x - middle), n) for x, _, n in rows]))
         # toxic texts' values are far above the others' and far apart, so the curve is one of their order of size
         slope, intercept = logistic([(math.asinh((x - middle) / spread), y, n) for x, y, n in rows])
+        of_class = [sum(n for _, y, n in rows if y == k) for k in (0, 1)]
+        intercept += math.log(of_class[0] / of_class[1])
         score = 1 / (1 + F.exp(-(F.lit(slope) * F.asinh((F.col("value") - middle) / spread) + F.lit(intercept))))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return values.withColumn("score", score).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

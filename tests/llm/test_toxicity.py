@@ -94,6 +94,17 @@ def test_letters_of_large_scripts_are_told_apart(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) > 0.95
 
 
+def test_the_share_of_toxic_labels_does_not_move_the_cut(spark):
+    rng = np.random.default_rng(5)
+    toxic = {i for i in range(900) if i % 15 == 0}
+    rows = [(i, prose(rng, int(rng.integers(40, 160)), ("zwik", "zwikker", "xoqqa") if i in toxic else ())) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.toxicity(docs, spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(900)], "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in found if r["held_out"]]
+    assert np.mean([r["predicted"] for r in held if r["doc_id"] in toxic]) > 0.9
+    assert np.mean([r["predicted"] for r in held if r["doc_id"] not in toxic]) < 0.05
+
+
 def brute_values(texts, labels, order):
     """Kneser-Ney letter models of both classes over distinct texts, from the definitions, and each word's value."""
     grams = [Counter(), Counter()]
