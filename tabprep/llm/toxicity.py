@@ -182,7 +182,9 @@ def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: i
         if k:
             scratch.forget(scratch.made - 2)
     mixed = F.log1p(TOXIC_SHARE * F.expm1(F.least("total", F.lit(100.0))))
-    return scratch.keep(t.select("word", "n", F.round(mixed * UNIT).cast("long").alias("value")))
+    out = scratch.keep(t.select("word", "n", F.round(mixed * UNIT).cast("long").alias("value")))
+    scratch.forget(scratch.made - 2)
+    return out
 
 
 def common_words(values: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -262,7 +264,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     scores.  Without training rows of both classes every score is the toxic share
     (0 if none).  An empty table gives no rows.  Ids must be whole numbers.
     """
-    scratch = Scratch(docs.sparkSession, "toxic")
+    scratch, learnt, valued = (Scratch(docs.sparkSession, name) for name in ("toxic", "toxic-model", "toxic-words"))
     ident, mark_id = F.col(quoted(doc_id)).cast("long"), F.col(quoted(label_id)).cast("long")
     marks = labels.where(F.col(quoted(label)).isNotNull() & mark_id.isNotNull()).groupBy(mark_id.alias("doc_id"))
     marks = scratch.keep(marks.agg(F.max(quoted(label)).cast("int").alias("label")).where(fold(F.col("doc_id")) != 1))
@@ -277,10 +279,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     training = scratch.keep(of_text.where(~apart).select("doc_id", "text_key", "label"))
     distinct = F.array_distinct(F.array_remove(F.split("text", SPACE), ""))
     words = texts.where(fold(F.col("doc_id")) != 1).select("doc_id", "text_key", distinct.alias("words")).join(small(training), ["doc_id", "text_key"])
-    words = scratch.keep(word_counts(words.select("words", "label")))
-    weights = scratch.keep(differences(scratch.keep(gram_counts(words, MARKS, order)), scratch, order))
+    words = learnt.keep(word_counts(words.select("words", "label")))
+    weights = scratch.keep(differences(learnt.keep(gram_counts(words, MARKS, order)), learnt, order))
+    learnt.forget(*range(learnt.made))
     every = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    values = scratch.keep(text_values(texts, word_values(scratch.keep(every), weights, scratch, order), scratch))
+    values = scratch.keep(text_values(texts, word_values(valued.keep(every), weights, valued, order), valued))
+    valued.forget(*range(valued.made))
     score = F.lit(1.0 if sizes and all(k for _, k in sizes) else 0.0)
     if {k for _, k in sizes} == {0, 1}:
         fitting = of_text.where("apart") if min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE else of_text
