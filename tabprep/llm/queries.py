@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, substring_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -64,6 +64,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+#: SQL for the unsigned CRC-32 of a text of code points below 256: the bits of its UTF-8 bytes, lowest first, are divided one by one.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+    flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)),
+    lambda b: list_transform(range(8), lambda k: CAST((b >> CAST(k AS INTEGER)) & 1 AS BIGINT))))),
+    lambda c, bit: xor(c >> 1, (xor(c, bit) & 1) * 3988292384)))"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +85,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -103,4 +114,36 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+        ), hashed AS (
+            SELECT run, n, {CRC32_SQL.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h
+            FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL)
+        ), words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ), cut AS (
+            SELECT word, n, place, word[: place - 1] || word[place + 1 :] AS rest
+            FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS place FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS n FROM near GROUP BY word
+        ), forms AS (
+            SELECT w.word, CASE WHEN b.n >= 2 * w.n THEN b.other END AS form, w.n, coalesce(b.n_near, 0) AS n_near,
+                   CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n
+            FROM words w LEFT JOIN best b USING (word)
+        ), ways AS (
+            SELECT word, word AS root FROM forms
+            UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON forms.word = ways.root WHERE forms.form IS NOT NULL
+        ), ends AS (
+            SELECT ways.word, ways.root FROM ways JOIN forms ON forms.word = ways.root WHERE forms.form IS NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+    """,
 }
