@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, substring_dedup, toxicity, trie
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,6 +68,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), lend=True)
+
+
 #: SQL for the unsigned CRC-32 of a text of code points below 256: the bits of its UTF-8 bytes, lowest first, are divided one by one.
 CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
     flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)),
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -146,4 +151,35 @@ ORACLE_SQL = {
         )
         SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
     """,
+    "op13_prefix_trie": rf"""
+        WITH given AS (
+            SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), hashed AS (
+            SELECT conv_id, turns, conv_id - (conv_id % 20 + 20) % 20 AS base, {CRC32_SQL.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM given
+        ), rebuilt AS (
+            SELECT c.conv_id, coalesce(b.turns[: c.h], []) || c.turns[c.h + 1 :] AS turns
+            FROM hashed c LEFT JOIN given b ON b.conv_id = c.base
+        ), places AS (
+            SELECT conv_id, len(turns) AS length, CAST(unnest(range(0, len(turns) + 1)) AS BIGINT) AS depth, turns FROM rebuilt
+        ), keyed AS (
+            SELECT conv_id, length, depth, sha256(CAST(to_json(turns[: depth]) AS VARCHAR)) AS node,
+                   CASE WHEN depth > 0 THEN sha256(CAST(to_json(turns[: depth - 1]) AS VARCHAR)) END AS parent,
+                   CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth][2], '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+            FROM places
+        ), nodes AS (
+            SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+            FROM keyed GROUP BY node
+        ), fanned AS (
+            SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.parent = n.node) AS n_children FROM nodes n
+        ), above AS (
+            SELECT DISTINCT low.node, up.node AS top FROM keyed low JOIN keyed up ON low.conv_id = up.conv_id AND up.depth <= low.depth
+        ), trees AS (
+            SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+            FROM above JOIN fanned USING (node) GROUP BY top
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+        FROM fanned n JOIN trees t ON t.top = n.node LEFT JOIN nodes p ON p.node = n.parent
+    """,
 }
