@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, substring_dedup, toxicity, trie
+from . import exact_dedup, licenses, mixing, packing, phrases, quality, secrets, sharding, simhash, spelling, substring_dedup, toxicity, trie
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,6 +68,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"), lend=True)
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
