@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,41 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, path)
 
 
+#: Lines of ``customer`` with what the test tables lack: quoted separators, quotes and line breaks, cells that count as missing,
+#: too long lines (every seventh) and short ones; both engines read the same text.
+LINES = """
+SELECT c_custkey, concat(CAST(c_custkey AS VARCHAR(20)), chr(9), '"', c_name, chr(10), 'a ""quoted""', chr(9), 'cell"', chr(9),
+  CASE WHEN c_custkey % 11 = 0 THEN c_mktsegment ELSE concat(
+    CASE WHEN c_custkey % 5 = 0 THEN 'n/a' WHEN c_custkey % 13 = 0 THEN '#N/A' ELSE c_mktsegment END, chr(9), CAST(c_nationkey AS VARCHAR(20)),
+    CASE WHEN c_custkey % 7 = 0 THEN concat(chr(9), 'too', chr(9), 'long') ELSE '' END) END) AS line
+FROM customer
+"""
+
+
+def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_pydict({"value": ["key\tname\tsegment\tnation"]})
+    yield from batches
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The folder with LINES as text files, each with a header, in the order of keys."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines = spark.sql(LINES.replace("FROM customer", "FROM {customer}").replace("VARCHAR(20)", "STRING"), customer=table(spark, sf_dir, "customer"))
+    ordered = lines.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    ordered.select(F.col("line").alias("value")).mapInArrow(with_header, "value string").write.text(path)
+    return path
+
+
+def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines but the too long ones, read by split."""
+    return read_delimited(spark, written_lines(spark, sf_dir), bad_lines="skip")
+
+
+def scan_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1000 lines in file order that aren't too long."""
+    return read_delimited(spark, written_lines(spark, sf_dir), bad_lines="skip", limit=1000)
+
+
 def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").orderBy("c_custkey").limit(5)
 
@@ -220,16 +256,26 @@ def float_sql(column: str, source: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        scan_table, scan_delimited, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
+        scan_table, scan_delimited, scan_lines, scan_first_lines, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
         column_types, fill_mean, fill_mode, mode_values, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
     )
 }
 
+#: What the lines of LINES are read as; a column with missing cells is never a whole number.
+LINES_SQL = """
+SELECT c_custkey AS key, concat(c_name, chr(10), 'a "quoted"', chr(9), 'cell') AS name,
+       CASE WHEN c_custkey % 11 = 0 OR (c_custkey % 5 <> 0 AND c_custkey % 13 <> 0) THEN c_mktsegment END AS segment,
+       CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS nation
+FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 11 = 0
+"""
+
 ORACLE_SQL = {
     "scan_table": "SELECT * FROM orders",
     "scan_delimited": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "scan_lines": LINES_SQL,
+    "scan_first_lines": f"{LINES_SQL} ORDER BY key LIMIT 1000",
     "head_rows": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",
     "first_n_rows": "SELECT * FROM events ORDER BY event_id LIMIT 1000",
     "wide_numeric_columns": "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",

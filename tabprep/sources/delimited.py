@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
+from .splits import records
 from .staging import staged
 
 #: Cells that count as missing.
@@ -74,6 +75,36 @@ def inferred(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def one_task(spark: SparkSession, path: str, names: list[str], options: dict, limit: int | None, bad_lines: str) -> DataFrame:
+    """The cells f0, f1 and so on of all lines that count, a file read by one task."""
+    fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
+    kind = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    rows = spark.read.options(header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options).schema(kind).csv(path)
+    bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
+    separators = F.length(bare) - F.length(F.replace(bare, F.lit(options["sep"]), F.lit("")))
+    long_line = F.coalesce(F.col(CORRUPT).isNotNull() & (separators >= len(names)), F.lit(False))
+    if bad_lines == "error":
+        looked_at = rows if limit is None else rows.limit(limit)
+        bad = looked_at.select("*", long_line.alias("bad")).where("bad").head(1)
+        if bad:
+            raise too_long(path, names, bad[0][CORRUPT])
+    # Spark refuses to read the record alone, so a cell is always looked at
+    kept = rows.where(~long_line & (F.length(F.coalesce(F.col("f0"), F.lit(""))) >= 0))
+    return kept if limit is None else kept.limit(limit)
+
+
+def many_tasks(spark: SparkSession, path: str, names: list[str], sep: str, limit: int | None, bad_lines: str, folder: str | None) -> DataFrame:
+    """As :func:`one_task`, a file read by many tasks."""
+    found = records(spark, path, names, sep, limit, bad_lines, folder)
+    if bad_lines == "error" and (bad := found.where("kind = 'bad'").head(1)):
+        raise too_long(path, names, bad[0]["record"])
+    return found.select("cells.*")
+
+
+def too_long(path: str, names: list[str], line: str) -> ValueError:
+    return ValueError(f"a line of {path} has more than {len(names)} fields: {line[:200]!r}")
+
+
 def read_delimited(
     spark: SparkSession,
     location: str,
@@ -83,16 +114,24 @@ def read_delimited(
     encoding: str = "UTF-8",
     infer: bool = True,
     folder: str | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """A table from delimited text with a header line; compressed files are read by their suffix.
 
     Short lines are padded.  Lines with too many fields are left out with
     ``bad_lines="skip"``, before the first ``limit`` of rows is taken; else they
     raise an error, those beyond ``limit`` excepted, as nothing is read there.
-    Quotes may hold separators, line breaks and doubled quotes, so a file isn't
-    split; convert large files once to Parquet.  Files from the web are fetched
-    into ``folder``, see :func:`staged`.  Cells in NULL_TOKENS are
+    Quotes may hold separators, line breaks and doubled quotes.  Files from the
+    web are fetched into ``folder``, see :func:`staged`.  Cells in NULL_TOKENS are
     missing.  Names may repeat; see :func:`unique_names`.
+
+    With ``split`` many tasks read an uncompressed file, whatever its quotes hold,
+    and write its cells once as Parquet into ``folder``, from where types are
+    inferred and columns are read; see :mod:`.splits`.  Lines end with a line feed,
+    with or without a carriage return.  The first ``limit`` of rows is in the order
+    of file names and places in the files, however the files are split; tasks stop
+    there.  Without ``split``, or if the encoding isn't UTF-8, one task reads a
+    file, several times, and ``limit`` takes any rows of several files.
     """
     if bad_lines not in ("error", "skip"):
         raise ValueError(f"bad_lines is 'error' or 'skip', not {bad_lines!r}")
@@ -100,21 +139,8 @@ def read_delimited(
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     head = spark.read.options(header=False, **options).csv(path).first()
     names = unique_names([f"_c{i}" if x is None else x for i, x in enumerate(head or [])])
-    fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
-    kind = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.options(header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options).schema(kind).csv(path)
-    bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
-    separators = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
-    long_line = F.coalesce(F.col(CORRUPT).isNotNull() & (separators >= len(names)), F.lit(False))
-    if bad_lines == "error":
-        looked_at = rows if limit is None else rows.limit(limit)
-        bad = looked_at.select("*", long_line.alias("bad")).where("bad").head(1)
-        if bad:
-            raise ValueError(f"a line of {path} has more than {len(names)} fields: {bad[0][CORRUPT][:200]!r}")
-    # Spark refuses to read the record alone, so a cell is always looked at
-    kept = rows.where(~long_line & (F.length(F.coalesce(F.col("f0"), F.lit(""))) >= 0))
+    whole = split and encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
+    kept = many_tasks(spark, path, names, sep, limit, bad_lines, folder) if whole else one_task(spark, path, names, options, limit, bad_lines)
     cells = [F.when(~F.col(f"f{i}").isin(*NULL_TOKENS), F.col(f"f{i}")).alias(name) for i, name in enumerate(names)]
     table = kept.select(*cells)
-    if limit is not None:
-        table = table.limit(limit)
     return inferred(table) if infer else table
