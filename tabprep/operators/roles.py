@@ -27,15 +27,16 @@ class RoleReport:
 
 
 def column_roles(df: DataFrame, max_categories: int = 10) -> RoleReport:
-    """Splits text columns at ``max_categories`` values and narrows numbers, from one profile of the table."""
+    """Splits text columns at ``max_categories`` values and narrows numbers, from one aggregate of the numbers and at most
+    ``max_categories`` values a task and text column."""
     from ..plans.profile import profile
+    from ..plans.values import few_values
 
-    named = [f.name for f in df.schema if is_numeric(f.dataType) or is_text(f.dataType)]
-    known = profile(df, named)
-    text = [c for c in known.columns.values() if is_text(c.type)]
+    known = profile(df, [f.name for f in df.schema if is_numeric(f.dataType)])
+    few = few_values(df, [f.name for f in df.schema if is_text(f.dataType)], max_categories)
     return RoleReport(
-        [c.name for c in known.columns.values() if is_numeric(c.type)],
-        [c.name for c in text if c.distinct <= max_categories],
-        [c.name for c in text if c.distinct > max_categories],
+        list(known.columns),
+        [c for c, n in few.items() if n is not None],
+        [c for c, n in few.items() if n is None],
         apply_plan(df, shrink_plan(known)),
     )

@@ -56,8 +56,7 @@ class Catalogue:
         return selectors.text_except_dates(self.table, names)
 
     def low_cardinality(self, threshold: int) -> DataFrame:
-        known = self.profile().columns
-        return selectors.chosen(self.table, [c for c in selectors.text_columns(self.table) if known[c].distinct <= threshold])
+        return selectors.low_cardinality(self.table, threshold)
 
     def n_unique(self, name: str) -> int | None:
         return selectors.n_unique(self.table, name)

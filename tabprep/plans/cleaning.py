@@ -1,4 +1,4 @@
-"""Cleaning of a measured catalogue as an estimator: one action to fit, a lazy projection to apply."""
+"""Cleaning of a measured catalogue as an estimator: a few aggregates to fit, a lazy projection to apply."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ class Settings:
 
 
 class Cleaner(Estimator):
-    """Fits a cleaning in one action over the unfiltered rows.
+    """Fits a cleaning over the unfiltered rows: one aggregate, and counters for the text columns' most frequent values.
 
     In this order: drop metadata columns; drop columns whose part of missing cells
     is ``sparse`` or more (columns in ``required`` stay); fill numbers with their
@@ -88,7 +88,7 @@ class Cleaner(Estimator):
     def _fit(self, dataset: DataFrame) -> CleanerModel:
         s, dataset = self.settings, without_nan(dataset)
         names = [c for c in dataset.columns if c not in s.drop]
-        known = profile(dataset, names)
+        known = profile(dataset, names, distinct=False)
         dense = [c for c in names if c in s.required or known.null_fraction(c) < s.sparse]
         for use, wanted, fits in (("measure", s.measures, is_text), ("guarded column", s.non_negative, is_numeric)):
             for c in wanted:

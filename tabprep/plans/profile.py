@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import quoted
 from ..operators.families import is_numeric, is_text
+from .values import modes
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,13 @@ class TableProfile:
 ROW = "column string, rows long, non_null long, distinct long, mean double, mode string, low long, high long, float_error double"
 
 
-def profile(df: DataFrame, only: Iterable[str] | None = None, counts_only: bool = False) -> TableProfile:
+def profile(df: DataFrame, only: Iterable[str] | None = None, counts_only: bool = False, distinct: bool = True) -> TableProfile:
     """Profiles columns in one action.
 
     With ``counts_only`` rows and non-null cells alone are counted, by partial
-    aggregates of one narrow pass; the other fields stay None.
+    aggregates of one narrow pass; the other fields stay None.  Without
+    ``distinct`` text columns' values aren't counted, which shuffles them; their
+    modes come from :func:`~tabprep.plans.values.modes`, in actions of its own.
 
     One aggregate over the table covers counts, means, ranges and rounding errors.
     Text columns are unpivoted to (column, value) and counted by value, from which
@@ -59,7 +62,8 @@ def profile(df: DataFrame, only: Iterable[str] | None = None, counts_only: bool
     """
     wanted = list(df.columns if only is None else only)
     kinds = {f.name: f.dataType for f in df.schema}
-    text = [] if counts_only else [c for c in wanted if is_text(kinds[c])]
+    text = [c for c in wanted if is_text(kinds[c])] if distinct and not counts_only else []
+    modal = {} if distinct or counts_only else modes(df, [c for c in wanted if is_text(kinds[c])])
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for i, name in enumerate(wanted):
         c, kind = quoted(name), kinds[name]
@@ -92,6 +96,6 @@ def profile(df: DataFrame, only: Iterable[str] | None = None, counts_only: bool
     columns = {}
     for i, name in enumerate(wanted):
         r = known[i]
-        distinct = r.get("distinct", 0) if name in text else None
-        columns[name] = ColumnProfile(name, kinds[name], r["non_null"], distinct, r.get("mean"), r.get("mode"), r.get("low"), r.get("high"), r.get("float_error"))
+        values = r.get("distinct", 0) if name in text else None
+        columns[name] = ColumnProfile(name, kinds[name], r["non_null"], values, r.get("mean"), r.get("mode", modal.get(name)), r.get("low"), r.get("high"), r.get("float_error"))
     return TableProfile(known[-1]["rows"], columns)

@@ -20,6 +20,7 @@ from .operators.shrink import shrink_plan as plan_of
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
 from .plans.profile import profile
+from .plans.values import few_values, modes
 from .sources.delimited import read_delimited
 from .sources.parquet import read_parquet
 from .sources.staging import shared_folder
@@ -176,14 +177,27 @@ def fill_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fill_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dirty(spark, sf_dir)
-    mode = profile(rows, ["event_type"]).columns["event_type"].mode
+    mode = modes(rows, ["event_type"])["event_type"]
     return rows.select("event_id", fill(F.col("event_type"), mode).alias("event_type"))
 
 
 def mode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    known = profile(orders, [f.name for f in orders.schema if is_text(f.dataType)])
-    return spark.createDataFrame([(c, p.mode) for c, p in known.columns.items()], "column string, mode string")
+    known = modes(orders, [f.name for f in orders.schema if is_text(f.dataType)])
+    return spark.createDataFrame(list(known.items()), "column string, mode string")
+
+
+def mode_of_many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent values of columns of few, of many and of single values, and of one where all are about as frequent."""
+    documents, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    known = modes(documents, ["text", "lang", "source"]) | modes(events.select("props", F.col("ts").cast("string").alias("ts")), ["props", "ts"])
+    return spark.createDataFrame(list(known.items()), "column string, mode string")
+
+
+def few_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values the text columns of two tables have, if they are 60 at most."""
+    known = few_values(table(spark, sf_dir, "documents"), ["text", "lang", "source"], 60) | few_values(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], 60)
+    return spark.createDataFrame(list(known.items()), "column string, n long")
 
 
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_table, scan_delimited, scan_lines, scan_first_lines, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
-        column_types, fill_mean, fill_mode, mode_values, extract_number, extract_unit, keep_positive, keep_non_negative,
+        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
     )
 }
@@ -307,6 +321,14 @@ ORACLE_SQL = {
         SELECT 'o_orderstatus' AS "column", ({mode_sql("o_orderstatus", "orders")}) AS mode
         UNION ALL SELECT 'o_orderpriority', ({mode_sql("o_orderpriority", "orders")})
     """,
+    "mode_of_many_values": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", ({mode_sql(c, t)}) AS mode"
+        for c, t in (("text", "documents"), ("lang", "documents"), ("source", "documents"), ("props", "events"), ("ts", "(SELECT CAST(ts AS VARCHAR) AS ts FROM events)"))
+    ),
+    "few_valued": f"""
+        SELECT "column", CASE WHEN n <= 60 THEN n END AS n
+        FROM ({value_counts("documents", ["text", "lang", "source"])} UNION ALL {value_counts("part", ["p_name", "p_brand", "p_type"])})
+    """,
     "extract_number": f"SELECT p_partkey, {NUMBER_SQL.format('p_brand')} AS number FROM part",
     "extract_unit": f"SELECT o_orderkey, {UNIT_SQL.format('o_orderpriority')} AS unit FROM orders",
     "keep_positive": f"""
