@@ -20,6 +20,7 @@ from .operators.shrink import shrink_plan as plan_of
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
 from .plans.profile import profile
+from .plans.quantiles import capped, exact_quantiles
 from .plans.values import few_values, modes
 from .sources.delimited import read_delimited
 from .sources.parquet import read_parquet
@@ -200,6 +201,18 @@ def few_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(known.items()), "column string, n long")
 
 
+def cap_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of ``lineitem`` held between their exact quantiles."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    return capped(lines, ["l_quantity", "l_extendedprice", "l_discount"], 0.01, 0.99)
+
+
+def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dirty(spark, sf_dir)
+    known = exact_quantiles(rows, ["value", "energy_100g", "half"], [0.01, 0.5, 0.99])
+    return spark.createDataFrame([(c, *q) for c, q in known.items()], "column string, low double, middle double, high double")
+
+
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", leading_number(F.col("p_brand")).alias("number"))
 
@@ -272,7 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_table, scan_delimited, scan_lines, scan_first_lines, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
-        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, extract_number, extract_unit, keep_positive, keep_non_negative,
+        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
     )
 }
@@ -329,6 +342,15 @@ ORACLE_SQL = {
         SELECT "column", CASE WHEN n <= 60 THEN n END AS n
         FROM ({value_counts("documents", ["text", "lang", "source"])} UNION ALL {value_counts("part", ["p_name", "p_brand", "p_type"])})
     """,
+    "cap_outliers": "WITH q AS (SELECT "
+    + ", ".join(f"quantile_disc({c}, 0.01) AS {c}_a, quantile_disc({c}, 0.99) AS {c}_b" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+    + " FROM lineitem) SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"least(greatest({c}, {c}_a), {c}_b) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+    + " FROM lineitem, q",
+    "column_quantiles": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(quantile_disc({c}, 0.01) AS DOUBLE) AS low, CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS middle, CAST(quantile_disc({c}, 0.99) AS DOUBLE) AS high FROM ({DIRTY})"
+        for c in ("value", "energy_100g", "half")
+    ),
     "extract_number": f"SELECT p_partkey, {NUMBER_SQL.format('p_brand')} AS number FROM part",
     "extract_unit": f"SELECT o_orderkey, {UNIT_SQL.format('o_orderpriority')} AS unit FROM orders",
     "keep_positive": f"""
