@@ -19,6 +19,7 @@ from .operators.shrink import shrink as narrowed
 from .operators.shrink import shrink_plan as plan_of
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
+from .plans.incremental import ProfileStore, sketch_error, sketched_counts, sketches
 from .plans.profile import profile
 from .plans.quantiles import capped, exact_quantiles
 from .plans.values import few_values, modes
@@ -213,6 +214,31 @@ def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, *q) for c, q in known.items()], "column string, low double, middle double, high double")
 
 
+def profile_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored profile of files of ``events`` after one is added and one removed, from the states of single files."""
+    folder = f"{shared_folder(spark)}/refit-{uuid.uuid4().hex}"
+    rows = dirty(spark, sf_dir)
+    for k in range(4):
+        rows.where(F.col("event_id") % 4 == k).write.parquet(f"{folder}/data/{k}")
+    store = ProfileStore(spark, f"{folder}/store")
+    store.refit(*[f"{folder}/data/{k}" for k in (0, 1, 2)])
+    known = store.refit(*[f"{folder}/data/{k}" for k in (1, 2, 3)])
+    listed = [(c, known.rows, p.non_null, p.distinct, None if p.mean is None else round(p.mean, 6), p.mode, p.low, p.high) for c, p in known.columns.items()]
+    return spark.createDataFrame(listed, "column string, n_rows long, non_null long, n_distinct long, mean double, mode string, low long, high long")
+
+
+def sketched_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the stored sketches of two batches, merged, tell the numbers of values within four of their standard errors."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    folder = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for k, batch in enumerate((lines.where("l_linenumber % 2 = 0"), lines.where("l_linenumber % 3 > 0"))):
+        sketches(batch, lines.columns).write.parquet(f"{folder}/{k}")
+    about = sketched_counts(spark.read.parquet(f"{folder}/0", f"{folder}/1"))
+    exact = lines.where("l_linenumber % 2 = 0 OR l_linenumber % 3 > 0").agg(*[F.count_distinct(c).alias(c) for c in lines.columns]).first()
+    listed = [(c, exact[c], abs(about[c] - exact[c]) <= 4 * sketch_error() * exact[c]) for c in lines.columns]
+    return spark.createDataFrame(listed, "column string, n_distinct long, within_error boolean")
+
+
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", leading_number(F.col("p_brand")).alias("number"))
 
@@ -276,6 +302,15 @@ def fits_sql(column: str, source: str) -> str:
                     WHEN min({column}) >= -2147483648 AND max({column}) <= 2147483647 THEN 'int32' ELSE 'int64' END FROM {source}"""
 
 
+def profile_sql(column: str, source: str) -> str:
+    """SQL for a column's row of the profile: text columns have values and a mode, numbers a mean, whole ones a range."""
+    text, whole = column in ("event_type", *PRODUCT), column in ("event_id", "sparse", "half")
+    return f"""
+        SELECT '{column}' AS "column", count(*) AS n_rows, count({column}) AS non_null, {f"count(DISTINCT {column})" if text else "CAST(NULL AS BIGINT)"} AS n_distinct,
+               {"CAST(NULL AS DOUBLE)" if text else f"round(CAST(sum({column}) AS DOUBLE) / count({column}), 6)"} AS mean, {f"({mode_sql(column, source)})" if text else "CAST(NULL AS VARCHAR)"} AS mode,
+               {f"min({column})" if whole else "CAST(NULL AS BIGINT)"} AS low, {f"max({column})" if whole else "CAST(NULL AS BIGINT)"} AS high FROM {source}"""
+
+
 def float_sql(column: str, source: str) -> str:
     return f"SELECT CASE WHEN max(abs(CAST(CAST({column} AS FLOAT) AS DOUBLE) - {column})) <= 5e-4 THEN 'float32' ELSE 'float64' END FROM {source}"
 
@@ -285,7 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_table, scan_delimited, scan_lines, scan_first_lines, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
-        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, extract_number, extract_unit, keep_positive, keep_non_negative,
+        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, profile_refit, sketched_distinct, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
     )
 }
@@ -351,6 +386,11 @@ ORACLE_SQL = {
         f"SELECT '{c}' AS \"column\", CAST(quantile_disc({c}, 0.01) AS DOUBLE) AS low, CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS middle, CAST(quantile_disc({c}, 0.99) AS DOUBLE) AS high FROM ({DIRTY})"
         for c in ("value", "energy_100g", "half")
     ),
+    "profile_refit": f"WITH d AS (SELECT * FROM ({DIRTY}) WHERE event_id % 4 > 0)" + " UNION ALL ".join(profile_sql(c, "d") for c in DIRTY_COLUMNS),
+    "sketched_distinct": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, TRUE AS within_error FROM lineitem WHERE l_linenumber % 2 = 0 OR l_linenumber % 3 > 0"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    ),
     "extract_number": f"SELECT p_partkey, {NUMBER_SQL.format('p_brand')} AS number FROM part",
     "extract_unit": f"SELECT o_orderkey, {UNIT_SQL.format('o_orderpriority')} AS unit FROM orders",
     "keep_positive": f"""
