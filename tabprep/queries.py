@@ -17,6 +17,7 @@ from .operators.roles import column_roles as roles_of
 from .operators.shrink import apply_plan
 from .operators.shrink import shrink as narrowed
 from .operators.shrink import shrink_plan as plan_of
+from .operators.timed import asof_join, interval_join
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
 from .plans.incremental import ProfileStore, sketch_error, sketched_counts, sketches
@@ -239,6 +240,22 @@ def sketched_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(listed, "column string, n_distinct long, within_error boolean")
 
 
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last view before it; keys of more than 100 rows are split."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    of = lambda kind: events.where(F.col("event_type") == kind).drop("event_type")
+    return asof_join(of("purchase"), of("view"), ["user_id"], "ts", "view_", most=100).drop("view_ts")
+
+
+def interval_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order: the orders of its part of the customers (one in 50) in the 30 days from then on."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("part"), day.alias("day"), "o_totalprice")
+    spans = orders.select("o_orderkey", "part", F.col("day").alias("start"), (F.col("day") + 30).alias("end"))
+    met = interval_join(orders, spans, ["part"], "day", "start", "end", "span_", most=1000)
+    return met.groupBy(F.col("span_o_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", leading_number(F.col("p_brand")).alias("number"))
 
@@ -320,7 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_table, scan_delimited, scan_lines, scan_first_lines, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
-        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, profile_refit, sketched_distinct, extract_number, extract_unit, keep_positive, keep_non_negative,
+        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, profile_refit, sketched_distinct, as_of_join, interval_sums, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
     )
 }
@@ -391,6 +408,16 @@ ORACLE_SQL = {
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, TRUE AS within_error FROM lineitem WHERE l_linenumber % 2 = 0 OR l_linenumber % 3 > 0"
         for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     ),
+    "as_of_join": """
+        SELECT p.event_id, p.user_id, p.ts, p.value, v.event_id AS view_event_id, v.value AS view_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+        ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts
+    """,
+    "interval_sums": """
+        WITH o AS (SELECT o_orderkey, o_custkey % 50 AS part, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders)
+        SELECT s.o_orderkey, count(*) AS n, round(sum(p.o_totalprice), 2) AS total
+        FROM o s JOIN o p ON p.part = s.part AND p.day >= s.day AND p.day < s.day + 30 GROUP BY s.o_orderkey
+    """,
     "extract_number": f"SELECT p_partkey, {NUMBER_SQL.format('p_brand')} AS number FROM part",
     "extract_unit": f"SELECT o_orderkey, {UNIT_SQL.format('o_orderpriority')} AS unit FROM orders",
     "keep_positive": f"""
