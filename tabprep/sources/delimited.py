@@ -75,6 +75,16 @@ def inferred(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def csv_options(sep: str, encoding: str = "UTF-8") -> dict:
+    return {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def header(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8") -> list[str]:
+    """The column names in a file's first line."""
+    head = spark.read.options(header=False, **csv_options(sep, encoding)).csv(path).first()
+    return unique_names([f"_c{i}" if x is None else x for i, x in enumerate(head or [])])
+
+
 def one_task(spark: SparkSession, path: str, names: list[str], options: dict, limit: int | None, bad_lines: str) -> DataFrame:
     """The cells f0, f1 and so on of all lines that count, a file read by one task."""
     fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
@@ -96,11 +106,16 @@ def one_task(spark: SparkSession, path: str, names: list[str], options: dict, li
 def many_tasks(spark: SparkSession, path: str, names: list[str], sep: str, limit: int | None, bad_lines: str, folder: str | None) -> DataFrame:
     """As :func:`one_task`, a file read by many tasks."""
     found = records(spark, path, names, sep, limit, bad_lines, folder)
-    if bad_lines == "error" and (bad := found.where("kind = 'bad'").head(1)):
-        raise too_long(path, names, bad[0]["record"])
+    if bad_lines == "error":
+        refuse_long_lines(found, path, names)
     return found.select("cells.*")
 
 
+def refuse_long_lines(found: DataFrame, path: str, names: list[str]) -> None:
+    if bad := found.where("kind = 'bad'").head(1):
+        raise too_long(path, names, bad[0]["record"])
+
+
 def too_long(path: str, names: list[str], line: str) -> ValueError:
     return ValueError(f"a line of {path} has more than {len(names)} fields: {line[:200]!r}")
 
@@ -136,9 +151,7 @@ def read_delimited(
     if bad_lines not in ("error", "skip"):
         raise ValueError(f"bad_lines is 'error' or 'skip', not {bad_lines!r}")
     path = staged(spark, location, folder)
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    head = spark.read.options(header=False, **options).csv(path).first()
-    names = unique_names([f"_c{i}" if x is None else x for i, x in enumerate(head or [])])
+    names, options = header(spark, path, sep, encoding), csv_options(sep, encoding)
     whole = split and encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
     kept = many_tasks(spark, path, names, sep, limit, bad_lines, folder) if whole else one_task(spark, path, names, options, limit, bad_lines)
     cells = [F.when(~F.col(f"f{i}").isin(*NULL_TOKENS), F.col(f"f{i}")).alias(name) for i, name in enumerate(names)]

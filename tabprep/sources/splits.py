@@ -221,11 +221,11 @@ def crossing_records(pieces: DataFrame, blocks: DataFrame, fields: int) -> DataF
 class Staged:
     """Delimited text cut into records and written once as Parquet, cells apart."""
 
-    def __init__(self, spark: SparkSession, files: str | list[str], names: list[str], sep: str, folder: str | None, limit: int | None, count_bad: bool):
+    def __init__(self, spark: SparkSession, files: str | list[str], names: list[str], sep: str, folder: str | None, limit: int | None, count_bad: bool, with_path: bool = False):
         self.names, self.count_bad = names, count_bad
         self.path = f"{shared_folder(spark, folder)}/records-{uuid.uuid4().hex}"
         meta = F.col("_metadata")
-        path = meta["file_path"] if limit is not None else F.lit(None).cast("string")
+        path = meta["file_path"] if with_path or limit is not None else F.lit(None).cast("string")
         at = [F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("start"), meta["file_block_length"].alias("length"), meta["file_size"].alias("size")]
         lines = spark.read.text(files, lineSep="\n").select("value", *at, path.alias("path"))
         cut = lines.mapInArrow(cutter(sep, len(names), limit, count_bad, not isinstance(files, str) and len(files) == 1, LONGEST), from_arrow_schema(PIECES))
@@ -280,12 +280,12 @@ class Staged:
         return before.unionByName(ranked.where(F.col("rank") <= n - last["before"]).drop("rank").select(*before.columns))
 
 
-def records(spark: SparkSession, path: str, names: list[str], sep: str, limit: int | None, bad_lines: str, folder: str | None) -> DataFrame:
-    """Rows (cells, kind, record) of the records below ``path``, the first ``limit`` of them in the order of file names and
+def records(spark: SparkSession, path: str, names: list[str], sep: str, limit: int | None, bad_lines: str, folder: str | None, with_path: bool = False) -> DataFrame:
+    """Rows (cells, kind, record, and path if asked for or limited) of the records below ``path``, the first ``limit`` of them in the order of file names and
     places in the files.  With ``bad_lines="skip"`` records with too many fields are left out and don't count."""
     count_bad = bad_lines == "error"
     if limit is None:
-        found = Staged(spark, path, names, sep, folder, None, count_bad).records()
+        found = Staged(spark, path, names, sep, folder, None, count_bad, with_path).records()
         return found if count_bad else found.where("kind = 'record'")
     files, look_at = sorted(unquote(f) for f in spark.read.text(path).inputFiles()), 1
     while True:
