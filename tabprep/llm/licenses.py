@@ -168,11 +168,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     # no filter on shingles here: it would be pushed below them, and work them out once for each shingle
     met = windows(with_shingles(given.drop("none")), least).join(small(index), ["width", "value"]).select("doc_id", "text_key", "width", "window", "license").distinct()
     asked = scratch.keep(met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("width", "window", "license")).alias("asked")))
-    # the row number tells repeated rows apart
-    t = with_shingles(given.join(small(asked), ["doc_id", "text_key"])).withColumn("row", F.monotonically_increasing_id())
-    t = t.selectExpr("row", "doc_id", "none", "shingles", "inline(asked)").join(small(table.drop("width")), "license")
+    t = with_shingles(given.join(small(asked), ["doc_id", "text_key"]))
+    t = t.selectExpr("doc_id", "text_key", "none", "shingles", "inline(asked)").join(small(table.drop("width")), "license")
     inside = f"slice(shingles, window + 1, width - {SHINGLE - 1})"
-    each = t.selectExpr("row", "doc_id", "none", "license", "window", f"size(array_intersect({inside}, own)) / size(own) AS containment").where(f"containment >= {LEAST}")
+    keys = ["doc_id", "text_key", "none", "license"]
+    each = t.selectExpr(*keys, "window", f"size(array_intersect({inside}, own)) / size(own) AS containment").where(f"containment >= {LEAST}")
     best = F.max_by("window", F.struct("containment", -F.col("window")))
-    found = each.groupBy("row", "doc_id", "none", "license").agg(F.max("containment").alias("containment"), best.alias("window"), F.count(F.lit(1)).alias("windows"))
+    # repeated rows meet together, each with the same windows
+    sums = [F.max("containment").alias("containment"), best.alias("window"), F.count_distinct("window").alias("windows"), F.count(F.lit(1)).alias("rows")]
+    found = each.groupBy(*keys).agg(*sums).withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr("rows div windows"))))
     return found.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "license", "containment", "window", "windows")
