@@ -136,6 +136,20 @@ def windows(t: DataFrame, least: dict[int, int]) -> DataFrame:
     return each.selectExpr(*keys, "width", "window", "explode(least) AS value")
 
 
+def that_may_meet(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """``texts``, those without shingles that share no value with the kept ``index``.
+
+    A band's value is one of the text's shingle hashes, so such a text meets no
+    template by any band of any window, and needs no signatures.  Where the index
+    has more than BROADCAST_ROWS values, all texts keep their shingles.
+    """
+    if index.count() > BROADCAST_ROWS:
+        return texts
+    values = index.agg(F.collect_set("value")).scalar()
+    shared = F.when(F.arrays_overlap("shingles", values), F.col("shingles")).otherwise(F.array().cast("array<bigint>"))
+    return texts.withColumn("shingles", shared)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and license found: doc_id, license, containment, window (its first word), windows.
 
@@ -166,7 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
         index = own if index is None else index.union(own)
     index = scratch.keep(index)
     # no filter on shingles here: it would be pushed below them, and work them out once for each shingle
-    met = windows(with_shingles(given.drop("none")), least).join(small(index), ["width", "value"]).select("doc_id", "text_key", "width", "window", "license").distinct()
+    met = windows(that_may_meet(with_shingles(given.drop("none")), index), least).join(small(index), ["width", "value"]).select("doc_id", "text_key", "width", "window", "license").distinct()
     asked = scratch.keep(met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("width", "window", "license")).alias("asked")))
     t = with_shingles(given.join(small(asked), ["doc_id", "text_key"]))
     t = t.selectExpr("doc_id", "text_key", "none", "shingles", "inline(asked)").join(small(table.drop("width")), "license")
