@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,16 @@ from .operators.shrink import shrink_plan as plan_of
 from .operators.timed import asof_join, interval_join
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
+from .plans.grouped import grouped_profile
 from .plans.incremental import ProfileStore, sketch_error, sketched_counts, sketches
 from .plans.profile import profile
 from .plans.quantiles import capped, exact_quantiles
 from .plans.values import few_values, modes
-from .sources.delimited import read_delimited
+from .sources.delimited import inferred, read_delimited
+from .sources.lattice import read_delimited_files
 from .sources.parquet import read_parquet
 from .sources.staging import shared_folder
+from .streaming.sessions import Sessions, session_files
 
 #: A view of ``events`` with the missing cells that the test tables lack; both engines read the same text.
 DIRTY = """
@@ -256,6 +260,49 @@ def interval_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy(F.col("span_o_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+def profile_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of two columns of ``part`` for every subset of two others."""
+    found = grouped_profile(table(spark, sf_dir, "part"), ["p_type", "p_size"], ["p_brand", "p_retailprice"])
+    return found.withColumn("mean", F.round("mean", 4))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the users of ``events``, which arrive in four files, every tenth twice; a last file closes them."""
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 4
+    for k in range(4):
+        part = events.where((F.col("ts") >= F.lit(first + k * step).cast("timestamp_ntz")) & (F.lit(k == 3) | (F.col("ts") < F.lit(first + (k + 1) * step).cast("timestamp_ntz"))))
+        part.union(part.where("event_id % 10 = 0")).write.mode("append").parquet(f"{folder}/in")
+    end = spark.range(1).select(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit(last + timedelta(days=30)).cast("timestamp_ntz"), F.lit(0.0)).toDF(*events.columns)
+    end.write.mode("append").parquet(f"{folder}/in")
+    query = session_files(spark, Sessions("user_id", "ts", "value", ("event_id",), gap="6 hours"), events.schema, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 2).alias("total"))
+
+
+def cell_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types that the values of ``orders`` have as text; dates stay text."""
+    orders = table(spark, sf_dir, "orders")
+    typed = inferred(orders.select(*[quoted(c).cast("string").alias(c) for c in orders.columns]))
+    return Catalogue(typed).types().select("column", "type")
+
+
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which kinds a column of ``part`` has in files that write it differently, with the cell that raises each file's kind."""
+    folder = f"{shared_folder(spark)}/kinds-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    for k, written in enumerate((size, F.concat(size, F.lit(".5")), F.concat(F.lit("size "), size))):
+        own = part.where(F.col("p_partkey") % 3 == k).select("p_partkey", written.alias("p_size"), "p_name")
+        own.write.options(sep="\t", header=True, escape='"').csv(f"{folder}/{k}")
+    _, found = read_delimited_files(spark, f"{folder}/*")
+    nth = F.regexp_extract("file", r"/kinds-[0-9a-f]+/(\d)/", 1).cast("int").alias("nth")
+    return found.groupBy("column", nth, "kind").agg(F.min("value").alias("value"))
+
+
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", leading_number(F.col("p_brand")).alias("number"))
 
@@ -337,7 +384,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_table, scan_delimited, scan_lines, scan_first_lines, head_rows, first_n_rows, wide_numeric_columns, all_numeric_columns, text_columns, pick_columns, text_except,
         text_except_dates, low_cardinality, n_unique, column_roles, drop_columns, null_fraction, drop_sparse, column_info,
-        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, profile_refit, sketched_distinct, as_of_join, interval_sums, extract_number, extract_unit, keep_positive, keep_non_negative,
+        column_types, fill_mean, fill_mode, mode_values, mode_of_many_values, few_valued, cap_outliers, column_quantiles, profile_refit, sketched_distinct, as_of_join, interval_sums, profile_sets, stream_sessions, cell_types, file_types, extract_number, extract_unit, keep_positive, keep_non_negative,
         shrink_int, shrink_float, shrink_plan, clean_pipeline,
     )
 }
@@ -418,6 +465,39 @@ ORACLE_SQL = {
         SELECT s.o_orderkey, count(*) AS n, round(sum(p.o_totalprice), 2) AS total
         FROM o s JOIN o p ON p.part = s.part AND p.day >= s.day AND p.day < s.day + 30 GROUP BY s.o_orderkey
     """,
+    "profile_sets": """
+        WITH counts AS (
+            SELECT p_type, p_size, p_brand, GROUPING_ID(p_type, p_size) AS grouping, count(*) AS n FROM part
+            GROUP BY GROUPING SETS ((p_type, p_size, p_brand), (p_type, p_brand), (p_size, p_brand), (p_brand))
+        ), modes AS (
+            SELECT p_type, p_size, grouping, count(*) AS n_distinct, arg_min(p_brand, (-n, p_brand)) AS mode FROM counts GROUP BY ALL
+        ), sums AS (
+            SELECT p_type, p_size, GROUPING_ID(p_type, p_size) AS grouping, count(*) AS n_rows, count(p_brand) AS brands, count(p_retailprice) AS prices,
+                   round(avg(p_retailprice), 4) AS mean, min(p_retailprice) AS low, max(p_retailprice) AS high
+            FROM part GROUP BY GROUPING SETS ((p_type, p_size), (p_type), (p_size), ())
+        )
+        SELECT s.p_type, s.p_size, CAST(s.grouping AS INTEGER) AS grouping, 'p_brand' AS "column", n_rows, brands AS non_null, n_distinct, NULL::DOUBLE AS mean, mode, NULL::DOUBLE AS low, NULL::DOUBLE AS high
+        FROM sums s JOIN modes m ON s.grouping = m.grouping AND s.p_type IS NOT DISTINCT FROM m.p_type AND s.p_size IS NOT DISTINCT FROM m.p_size
+        UNION ALL SELECT p_type, p_size, CAST(grouping AS INTEGER), 'p_retailprice', n_rows, prices, NULL, mean, NULL, low, high FROM sums
+    """,
+    "stream_sessions": """
+        WITH gaps AS (
+            SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, TRUE) AS begins FROM events
+        ), numbered AS (
+            SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM gaps
+        )
+        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, round(sum(value), 2) AS total FROM numbered GROUP BY user_id, nth
+    """,
+    "cell_types": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN bool_and(regexp_full_match(CAST({c} AS VARCHAR), '[+-]?[0-9]+')) THEN 'int64'
+            WHEN bool_and(regexp_full_match(CAST({c} AS VARCHAR), '[+-]?[0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?')) THEN 'float64' ELSE 'text' END AS type FROM orders"""
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    ),
+    "file_types": """
+        SELECT 'p_size' AS "column", CAST(p_partkey % 3 AS INTEGER) AS nth, CASE p_partkey % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'double' ELSE 'text' END AS kind,
+               min(CASE p_partkey % 3 WHEN 1 THEN p_size || '.5' WHEN 2 THEN 'size ' || p_size END) AS value
+        FROM part GROUP BY p_partkey % 3
+    """,
     "extract_number": f"SELECT p_partkey, {NUMBER_SQL.format('p_brand')} AS number FROM part",
     "extract_unit": f"SELECT o_orderkey, {UNIT_SQL.format('o_orderpriority')} AS unit FROM orders",
     "keep_positive": f"""
