@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
 from . import delimited
 from .splits import records
-from .staging import staged
+from .staging import shared_folder, staged
 
 #: A column's kind in a file.  ``empty`` lies below all, ``text`` above all, ``long`` below ``double``; ``boolean`` and numbers
 #: have only ``text`` above both.
@@ -85,7 +87,9 @@ def read_delimited_files(spark: SparkSession, location: str, sep: str = "\t", ba
     if bad_lines == "error":
         delimited.refuse_long_lines(found, path, names)
     cells = found.select(F.col("path"), *[F.when(~F.col(f"cells.f{i}").isin(*delimited.NULL_TOKENS), F.col(f"cells.f{i}")).alias(f"f{i}") for i in range(len(names))])
-    kinds = file_kinds(cells, "path").persist()
+    kinds, stored = file_kinds(cells, "path"), f"{shared_folder(spark, folder)}/kinds-{uuid.uuid4().hex}"
+    kinds.write.parquet(stored)
+    kinds = spark.read.schema(kinds.schema).parquet(stored)
     joined = joined_kinds(kinds)
     # a table without rows has no kinds
     table = cells.select(*[as_kind(F.col(f"f{i}"), joined.get(f"f{i}", "double")).alias(name) for i, name in enumerate(names)])
