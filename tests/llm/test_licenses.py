@@ -1,3 +1,4 @@
+import random
 import re
 
 from tabprep.llm import licenses
@@ -47,6 +48,23 @@ def test_matches_brute_force(spark):
         assert found.get(i, {}) == brute(text, licenses.TEMPLATES), text
 
 
+def test_whole_license_texts_at_the_border(spark):
+    """Each whole text inside filler, with so many words changed that its containment lies above and below 0.8."""
+    rng, known = random.Random(1), licenses.TEMPLATES | licenses.whole_texts()
+    filler, texts = [f"word{i}" for i in range(300)], []
+    for text in licenses.whole_texts().values():
+        for changed in (0, 0.02, 0.04, 0.06):
+            own = [f"other{i}" if rng.random() < changed else w for i, w in enumerate(text.split())]
+            texts.append(" ".join([*filler[: rng.randint(0, 300)], *own, *filler]))
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect():
+        found.setdefault(r["doc_id"], {})[r["license"]] = r["containment"]
+    due = {i: brute(t, known) for i, t in enumerate(texts)}
+    assert {i: found.get(i, {}) for i in due} == due
+    assert 12 < sum(bool(d) for d in due.values()) and any(0.8 <= p < 0.85 for d in due.values() for p in d.values())
+    assert any(not d for d in due.values())
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "Licensed under CC BY-NC 4.0."), (1, "Licensed under CC BY-NC 4.0."), (None, "Licensed under CC BY-NC 4.0.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
