@@ -39,17 +39,18 @@ def exact_groups(
 
     Null texts count as empty; all empty texts are one group.  Of a group, the
     row with the largest doc_id stays (null ids are below all others); of
-    repeated rows with that doc_id, one.  An empty table gives an empty result.
+    repeated rows with that doc_id, one.  An empty table gives an empty result.  Ids
+    must be whole numbers; a long text has a long list of identifiers, in memory.
     ``id_bits`` shortens the identifiers to provoke collisions in tests.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
     chunks = F.regexp_extract_all(body, F.lit(chunk_pattern(smallest, largest)), F.lit(0))
     ident = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - id_bits) if id_bits < 64 else F.xxhash64(c)
     pieces = docs.select(F.explode(chunks).alias("chunk")).select(ident(F.col("chunk")).alias("id"), "chunk").distinct()
     shared = pieces.groupBy("id").count().where("count > 1").select("id")
     recipes = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(quoted(doc_id)).cast("long").alias("doc_id"),
         F.transform(chunks, ident).alias("recipe"),
         F.sha2(body, 256).alias("text_sha256"),
     )

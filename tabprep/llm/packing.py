@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted
 from .ranks import hash_key, running
 from .scratch import Scratch
 
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
             arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    given = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     return given.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -200,7 +201,9 @@ def pack(
     pieces of its length.
 
     A null text counts as empty: its only id is ``end_id``.  Repeated rows are
-    packed one by one.  An empty table gives no rows.
+    packed one by one.  An empty table gives no rows.  Ids must be whole numbers; a
+    long text is cut into pieces, and pieces of one length are interchangeable, so
+    ties change no sequence's fill.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted
+
 #: The base kinds in order: pattern, the group whose length counts, and that length.
 BASE = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -186,9 +188,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     exclusive.  An added span that a base span covers by half or more is left out,
     as the secret is already listed.  A null text counts as empty; texts without spans get empty lists.
     Repeated rows give a row each, an empty table gives none, and other columns
-    are not read.  All rows are scanned where they lie: nothing is shuffled.
+    are not read.  All rows are scanned where they lie: nothing is shuffled.  Ids may
+    be of any type; a text of any length is scanned whole, in memory.
     """
-    t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    t = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("body"))
     patterns = {k: v[0] for k, v in BASE.items()} | {"candidate": CANDIDATE}
     t = t.select("doc_id", *[split_at(F.col("body"), p).alias(f"parts_{k}") for k, p in patterns.items()])
     t = t.withColumn("base", base_spans())

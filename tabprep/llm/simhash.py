@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted
 from .components import components
 from .exact_dedup import keep_rows
 from .ranks import attach
@@ -49,8 +50,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], ["doc_id", "fp", "text_sha256"])
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.cast("binary").alias("text"), F.sha2(body, 256).alias("text_sha256"))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    given = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), body.cast("binary").alias("text"), F.sha2(body, 256).alias("text_sha256"))
     return given.mapInArrow(per_batch, "doc_id long, fp long, text_sha256 string")
 
 
@@ -232,7 +233,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     component_id is the smallest doc_id that links of MOST_BITS differing bits or
     fewer reach.  Null texts and texts without words have fingerprint zero, linked
     like any other.  Null ids are passed over in the minimum; repeated rows are
-    linked to each other.  An empty table gives no rows.
+    linked to each other.  An empty table gives no rows.  Ids must be whole numbers;
+    a text's shingles are counted SHINGLES at a time, however long it is.  Bits set
+    in just half of the hashes are 0.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, doc_id, text))

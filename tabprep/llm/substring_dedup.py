@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import quoted
 from .scratch import Scratch
 
 #: Words of a window, and of a run at the first level at most.
@@ -133,11 +134,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, do
 
     Null texts have no words.  Repeated rows are texts like any other, so each
     makes the other's windows repeated.  Texts shorter than a window stay whole.
-    Two hashes of a window, of 64 and 32 bits, must agree for it to count as repeated.
+    Two hashes of a window, of 64 and 32 bits, must agree for it to count as repeated;
+    both come from one 64-bit hash a word.  Ids must be whole numbers.  An empty
+    table gives no rows; a text of any length is read whole, in memory.
     """
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keys = {"k1": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "k2": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), *[c.alias(n) for n, c in keys.items()])
+    body = F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary")
+    keys = {"k1": F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(-1)), "k2": F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit("")))}
+    given = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), body.alias("text"), *[c.alias(n) for n, c in keys.items()])
     texts = given.repartition("k1", "k2")
     scratch, lengths = Scratch(docs.sparkSession, "repeats"), levels(window, first)
     found: DataFrame | None = None

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabprep.llm import exact_dedup, mixing, quality, simhash
+from tabprep.llm import exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup
 from tabprep.llm.columns import free_names, quoted
+from tabprep.llm.queries import tokenizer_path
 
 NAMES = [
     "__k", "__z", "__h", "__n", "__id", "__hash", "__shard", "__copy", "__order", "__sha", "row", "key", "row_key", "short_key", "no_source", "source_name", "bits",
@@ -49,3 +50,12 @@ def test_names(spark):
     docs = spark.createDataFrame([(1, 2)], "a int, `A_` int")
     assert free_names(docs, "a", "a", "b") == ["a__", "a___", "b"]
     assert docs.select(quoted("A_")).columns == ["A_"]
+
+
+@pytest.mark.parametrize("operator", [secrets.scan, substring_dedup.remove_repeats, simhash.near_groups, exact_dedup.exact_groups, lambda d, **c: packing.token_pieces(d, tokenizer_path(), 2048, 0, **c)])
+def test_names_with_dots_and_backticks(spark, operator):
+    """Ids and texts are found under any name; the result is that of the usual names."""
+    docs = table(spark).select("doc_id", "text")
+    other = docs.select(F.col("doc_id").alias("a.id"), F.col("text").alias("my `text`"), F.lit(0).alias("hash"), F.lit("x").alias("text_sha256"))
+    found = operator(other, doc_id="a.id", text="my `text`")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, operator(docs, doc_id="doc_id", text="text").collect()))
