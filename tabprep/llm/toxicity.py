@@ -16,17 +16,19 @@ from .scratch import Scratch
 #: White space between words; what stands for a word's begin and end, and for these two where a text has them.
 SPACE, BEGIN, END, RARE = r"[\x20\x09-\x0D]+", "\x02", "\x03", "\x1a"
 MARKS = f"[{BEGIN}{END}]"
-#: Grams of the longest order, and entries of a part of the model: the tasks hold one part at a time.
-ORDER, PART_ENTRIES = 6, 500_000
+#: Letters of the longest grams; no gram of the distinct words takes more than one part in HOT_GRAMS of a join's rows.
+ORDER, HOT_GRAMS = 6, 10_000
 #: The share of a toxic text's words that come from the toxic model: such texts are ordinary language for the most part.
 TOXIC_SHARE = 0.01
-#: Words' values are whole numbers of 1 / UNIT, so sums don't depend on the order of words; words in a task's dictionary at
-#: most; and labelled texts that are broadcast at most.
-UNIT, DICTIONARY, LABEL_ROWS = 1 << 32, 400_000, 500_000
-#: One in SLICE of the training texts calibrates the score, if it has CALIBRATE texts of either class.
-SLICE, CALIBRATE = 8, 10
-#: Steps in which values are counted for the calibration, and their limit.
-STEPS, LIMIT = 1_000_000, 1
+#: Values are whole numbers of 1 / UNIT, so sums don't depend on the order of rows; words in a task's dictionary at most;
+#: and labelled texts that are broadcast at most.
+UNIT, DICTIONARY, LABEL_ROWS = 1 << 28, 400_000, 500_000
+#: Distinct texts fall into MODELS parts; the model of a part learns from the other parts' texts and values its own.
+MODELS = 4
+#: Steps in which values are counted for the calibration: of the value near 0, and of its logarithm far from it.
+NEAR, FAR = 1_000_000, 20_000
+#: Grams that a task hands over at once.
+BATCH = 200_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -34,10 +36,22 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3))
 
 
-def discount(counts: DataFrame, column: str) -> float:
-    """Kneser-Ney's discount from how many counts are 1 and 2."""
-    once, twice = counts.agg(F.count_if(F.col(column) == 1), F.count_if(F.col(column) == 2)).first()
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+def part_of(text_key: Column, models: int) -> Column:
+    """The part that a text falls into, equal texts into the same."""
+    return F.pmod(F.xxhash64(F.lit(models), text_key), F.lit(models)).cast("int")
+
+
+def of_model(counts: DataFrame) -> list[str]:
+    """The column that tells models apart, if the counts are of several."""
+    return [c for c in ("model",) if c in counts.columns]
+
+
+def discount(counts: DataFrame, column: str) -> Column:
+    """Kneser-Ney's discount of each model, from how many counts are 1 and 2."""
+    key = of_model(counts)
+    rows = counts.groupBy(*key).agg(F.count_if(F.col(column) == 1).alias("once"), F.count_if(F.col(column) == 2).alias("twice")).collect()  # a row a model
+    cut = {r["model"] if key else 0: min(0.95, max(0.1, r["once"] / (r["once"] + 2 * r["twice"]))) if r["once"] else 0.5 for r in rows}
+    return F.element_at(F.array(*(F.lit(cut.get(m, 0.5)) for m in range(max(cut, default=0) + 1))), F.col("model") + 1 if key else F.lit(1))
 
 
 def head(c: str = "gram") -> Column:
@@ -49,20 +63,29 @@ def tail(c: str = "gram") -> Column:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows (word, toxic, ordinary) from rows (words, label), a text's distinct words: how many texts of a class have the word."""
-    words = rows.select(F.explode("words").alias("word"), "label")
-    return words.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
+    """Rows (word, toxic, ordinary) from rows (words, label), a text's distinct words: how many texts of a class have the word; by part if there is one."""
+    key = [c for c in ("part",) if c in rows.columns]
+    words = rows.select(F.explode("words").alias("word"), "label", *key)
+    return words.groupBy("word", *key).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
 
 def gram_counts(words: DataFrame, rare: str, order: int) -> DataFrame:
     """Rows (gram, toxic, ordinary): in how many texts' words its last letter follows its others, which reach back to the word's begin at most."""
+    key = [c for c in ("part",) if c in words.columns]
     whole = F.concat(F.lit(BEGIN), F.regexp_replace("word", rare, RARE), F.lit(END))
-    spelled = words.select(whole.alias("w"), "toxic", "ordinary")
+    spelled = words.select(whole.alias("w"), "toxic", "ordinary", *key)
     ends = F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end")
-    at = spelled.select("w", "toxic", "ordinary", ends)
+    at = spelled.select("w", "toxic", "ordinary", *key, ends)
     start = F.greatest(F.col("end") - order + 1, F.lit(1))
     gram = F.substr(F.col("w"), start, F.col("end") - start + 1)
-    return at.groupBy(gram.alias("gram")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return at.groupBy(gram.alias("gram"), *key).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def others(counts: DataFrame, models: int) -> DataFrame:
+    """Rows (model, gram, toxic, ordinary) from counts by part: each part's model has the counts of the other parts together."""
+    left = F.filter(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: m != F.col("part"))
+    each = counts.select(F.explode(left).alias("model"), "gram", "toxic", "ordinary")
+    return each.groupBy("model", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def pooled(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
@@ -72,33 +95,34 @@ def pooled(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
     probability that Kneser-Ney's discount sets aside there; low: the last
     letter's probability behind a context one letter shorter.  Grams of full
     length and of word begins count as often as they occur; each shorter gram
-    counts how many letters it follows.
+    counts how many letters it follows.  Each model has its own figures.
     """
-    known = counts.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"))
-    level = known.where(F.length("gram") == order).select("gram")
+    key = of_model(counts)
+    known = counts.select(*key, "gram", (F.col("toxic") + F.col("ordinary")).alias("n"))
+    level = known.where(F.length("gram") == order).select(*key, "gram")
     lower: dict[int, DataFrame] = {}
     for k in range(order - 1, 0, -1):
-        lower[k] = scratch.keep(level.groupBy(tail().alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-        level = lower[k].select("gram").union(known.where(F.length("gram") == k).select("gram"))
+        lower[k] = scratch.keep(level.groupBy(*key, tail().alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        level = lower[k].select(*key, "gram").union(known.where(F.length("gram") == k).select(*key, "gram"))
 
     def smoothed(own: DataFrame, below: DataFrame | None) -> DataFrame:
         d = discount(own, "n")
-        sums = own.groupBy(head().alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        t = own.withColumn("context", head()).join(sums, "context")
+        sums = own.groupBy(*key, head().alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        t = own.withColumn("context", head()).join(sums, [*key, "context"])
         t = t.withColumns({"pool": F.col("n") / F.col("total"), "reserved": d * F.col("kinds") / F.col("total"), "shorter": tail()})
         t = t.withColumn("part", F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total"))
         if below is None:
             t = t.withColumn("low", 1 / F.col("kinds"))
         else:
-            t = t.join(below.select(F.col("gram").alias("shorter"), F.col("probability").alias("low")), "shorter")
-        return t.select("gram", "pool", "reserved", "low", (F.col("part") + F.col("reserved") * F.col("low")).alias("probability"))
+            t = t.join(below.select(*key, F.col("gram").alias("shorter"), F.col("probability").alias("low")), [*key, "shorter"])
+        return t.select(*key, "gram", "pool", "reserved", "low", (F.col("part") + F.col("reserved") * F.col("low")).alias("probability"))
 
     below = None
     every = None
     for k in range(1, order):
         below = scratch.keep(smoothed(lower[k], below))
         every = below if every is None else every.union(below)
-    return counts.join(smoothed(known, every).drop("probability"), "gram")
+    return counts.join(smoothed(known, every).drop("probability"), [*key, "gram"])
 
 
 def differences(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
@@ -107,21 +131,22 @@ def differences(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
     Behind a context both classes set aside what the pooled counts do and back
     off to the same shorter context, so a letter that is new there weighs
     nothing.  The rest follows the class's discounted counts, completed from the
-    pooled ones.
+    pooled ones.  With a column ``model`` each model has its own rows.
     """
+    key = of_model(counts)
     table = scratch.keep(pooled(counts, scratch, order).withColumn("context", head()))
     discounts = {name: discount(table, name) for name in ("toxic", "ordinary")}
     sums = []
     for name, d in discounts.items():
-        sums += [F.sum(name).alias(f"total_{name}"), F.sum(F.least(F.col(name), F.lit(d))).alias(f"taken_{name}")]
-    t = table.join(table.groupBy("context").agg(*sums), "context")
+        sums += [F.sum(name).alias(f"total_{name}"), F.sum(F.least(F.col(name), d)).alias(f"taken_{name}")]
+    t = table.join(table.groupBy(*key, "context").agg(*sums), [*key, "context"])
     likely = {}
     for name, d in discounts.items():
         total = F.greatest(F.col(f"total_{name}"), F.lit(1))
         own = F.greatest(F.col(name) - d, F.lit(0.0)) / total
         rest = F.when(F.col(f"total_{name}") > 0, F.col(f"taken_{name}") / total).otherwise(1.0)
         likely[name] = (1 - F.col("reserved")) * (own + rest * F.col("pool")) + F.col("reserved") * F.col("low")
-    return t.select("gram", F.log(likely["toxic"] / likely["ordinary"]).alias("weight"))
+    return t.select(*key, "gram", F.log(likely["toxic"] / likely["ordinary"]).alias("weight"))
 
 
 def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -147,48 +172,60 @@ def median(rows: list[tuple[float, int]]) -> float:
     return 0.0
 
 
-def one_pass(words: DataFrame, model: dict[str, float], order: int) -> DataFrame:
-    """The rows (word, n, total) with the words' weights by ``model`` added to ``total``."""
-    sent = words.sparkSession.sparkContext.broadcast(model)
+def spelled_grams(words: DataFrame, order: int) -> DataFrame:
+    """Rows (row, gram) from rows (row, word): each letter of a word and its end, behind ``order`` - 1 letters at most."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grams = [], []
         for batch in batches:
-            out = []
-            for word, total in zip(batch.column("word").to_pylist(), batch.column("total").to_pylist(), strict=True):
+            for row, word in zip(batch.column("row").to_pylist(), batch.column("word").to_pylist(), strict=True):
                 w = BEGIN + word + END
-                for i in range(1, len(w)):
-                    total += weights.get(w[max(0, i - order + 1) : i + 1], 0.0)
-                out.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.float64())], ["word", "n", "total"])
+                for first in range(1, len(w), BATCH):
+                    ends = range(first, min(len(w), first + BATCH))
+                    grams += [w[max(0, i - order + 1) : i + 1] for i in ends]
+                    rows += [row] * len(ends)
+                    if len(grams) >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string())], ["row", "gram"])
+                        rows, grams = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string())], ["row", "gram"])
 
-    return words.select("word", "n", "total").mapInArrow(add, "word string, n long, total double")
+    return words.select("row", "word").mapInArrow(spell, "row long, gram string")
 
 
-def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
-    """Rows (word, n, value) of the distinct words: the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
+def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int, models: int = 1) -> DataFrame:
+    """Rows (word, n, value) of the distinct words: in each model, the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
 
     In a toxic text TOXIC_SHARE of the words come from the toxic model and the
     others from the ordinary one, so a word's likelihood there is a mixture.  The
-    kept table ``weights`` is dealt into parts of about PART_ENTRIES grams; each
-    passes over the distinct words once, so the whole model counts and a task
-    holds one part.
+    words' grams meet the weights in a join.  A gram that takes more than one
+    part in HOT_GRAMS of its rows is dealt over several keys; there are fewer
+    than HOT_GRAMS of these, whatever the words are, so their list is broadcast.
     """
-    parts = max(1, math.ceil(weights.count() / PART_ENTRIES))
-    t = words.withColumn("total", F.lit(0.0))
-    for k in range(parts):
-        part = weights.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()
-        t = scratch.keep(one_pass(t, dict(zip(part.column("gram").to_pylist(), part.column("weight").to_pylist(), strict=True)), order))
-        if k:
-            scratch.forget(scratch.made - 2)
-    mixed = F.log1p(TOXIC_SHARE * F.expm1(F.least("total", F.lit(100.0))))
-    out = scratch.keep(t.select("word", "n", F.round(mixed * UNIT).cast("long").alias("value")))
-    scratch.forget(scratch.made - 2)
+    table = scratch.keep(words.select("word", "n").withColumn("row", F.monotonically_increasing_id()))
+    total = table.agg(F.sum(F.length("word").cast("long") + 1)).first()[0] or 0
+    grams = spelled_grams(table, order)
+    counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") * HOT_GRAMS > total)
+    hot = F.broadcast(scratch.keep(counted.select("gram", F.ceil(F.col("met") * HOT_GRAMS / total).cast("int").alias("keys"))))
+    model = F.col("model") if "model" in weights.columns else F.lit(0)
+    names = [f"weight_{m}" for m in range(models)]
+    whole = F.round(F.col("weight") * UNIT).cast("long")
+    wide = weights.groupBy("gram").agg(*(F.sum(F.when(model == m, whole).otherwise(0)).alias(c) for m, c in enumerate(names)))
+    keys = F.coalesce("keys", F.lit(1))
+    dealt = wide.join(hot, "gram", "left").select("gram", *names, F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
+    asked = grams.join(hot, "gram", "left").select("row", "gram", F.pmod(F.col("row"), keys).cast("int").alias("key"))
+    sums = asked.join(dealt, ["gram", "key"]).groupBy("row").agg(*(F.sum(c).alias(c) for c in names))
+
+    def mixed(c: str) -> Column:
+        t, share = F.coalesce(F.col(c), F.lit(0)) / UNIT, F.lit(TOXIC_SHARE)
+        return F.round(F.when(t > 0, t + F.log(share + (1 - share) * F.exp(-t))).otherwise(F.log1p(share * F.expm1(t))) * UNIT).cast("long")
+
+    out = scratch.keep(table.join(sums, "row", "left").select("word", "n", F.array(*map(mixed, names)).alias("value")))
+    scratch.forget(scratch.made - 3, scratch.made - 2)
     return out
 
 
-def common_words(values: DataFrame) -> tuple[dict[bytes, int], int]:
-    """The values of the words that occur most, DICTIONARY at most, and how often a word must occur to be one of them."""
+def common_words(values: DataFrame, models: int) -> tuple[dict[bytes, int], np.ndarray, int]:
+    """The words that occur most, DICTIONARY at most, numbered; their values, a row a model; and how often a word must occur to be one of them."""
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(map(tuple, values.groupBy(step.alias("step")).count().collect()), reverse=True)  # a row for each eighth of a doubling
     least, held = None, 0
@@ -198,26 +235,27 @@ def common_words(values: DataFrame) -> tuple[dict[bytes, int], int]:
             break
         least = at
     if least is None:
-        return {}, 1 << 62
+        return {}, np.zeros((models, 1), np.int64), 1 << 62
     known = values.where(step >= least).select(F.col("word").cast("binary").alias("word"), "value").toArrow()
-    return dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist(), strict=True)), 0 if least == sizes[-1][0] else least
+    found = np.array(known.column("value").combine_chunks().flatten(), np.int64).reshape(-1, models).T
+    return {w: i for i, w in enumerate(known.column("word").to_pylist())}, np.ascontiguousarray(found), 0 if least == sizes[-1][0] else least
 
 
-def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (doc_id, text_key, value) of rows (doc_id, text_key, text): the mean value of the text's words, 0 if it has none.
+def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch, models: int = 1) -> DataFrame:
+    """Rows (doc_id, text_key, value) of rows (doc_id, text_key, text): the mean value of the text's words in its part's model, 0 if it has none.
 
     Common words have their values in a dictionary of bounded size in every
     task; the others are few of a text's words, and each is in few texts, so they
     meet their values in a join.
     """
-    known, least = common_words(values)
-    sent = texts.sparkSession.sparkContext.broadcast(known)
+    known, figures, least = common_words(values, models)
+    sent = texts.sparkSession.sparkContext.broadcast((known, figures))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sent.value
+        found, of = sent.value
         for batch in batches:
             totals, sizes, rest = [], [], []
-            for text in batch.column("text"):
+            for text, model in zip(batch.column("text"), batch.column("model").to_pylist(), strict=True):
                 words = text.as_py().split()
                 met = list(map(found.get, words))
                 if None in met:
@@ -225,18 +263,19 @@ def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch) -> DataFr
                     met = [v for v in met if v is not None]
                 else:
                     rest.append([])
-                totals.append(sum(met))
+                totals.append(int(of[model][met].sum()) if met else 0)
                 sizes.append(len(words))
-            columns = [batch.column("doc_id"), batch.column("text_key"), batch.column("row"), pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "row", "total", "words", "rest"])
+            columns = [*(batch.column(c) for c in ("doc_id", "text_key", "model", "row")), pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "model", "row", "total", "words", "rest"])
 
-    given = texts.select("doc_id", "text_key", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
-    t = scratch.keep(given.mapInArrow(look_up, "doc_id long, text_key long, row long, total long, words long, rest array<binary>"))
+    given = texts.select("doc_id", "text_key", part_of(F.col("text_key"), models).alias("model"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    t = scratch.keep(given.mapInArrow(look_up, "doc_id long, text_key long, model int, row long, total long, words long, rest array<binary>"))
     total = F.col("total")
     if least:
-        each = t.select("row", F.explode(F.col("rest").cast("array<string>")).alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+        each = t.select("row", "model", F.explode(F.col("rest").cast("array<string>")).alias("word")).groupBy("row", "model", "word").agg(F.count(F.lit(1)).alias("times"))
         rare = values.where(F.floor(F.log2("n") * 8) < least).select("word", "value") if least < 1 << 62 else values.select("word", "value")
-        more = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+        own = F.element_at("value", F.col("model") + 1)
+        more = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * own).alias("more"))
         t = t.join(more, "row", "left")
         total = total + F.coalesce("more", F.lit(0))
     return t.select("doc_id", "text_key", F.when(F.col("words") > 0, total / F.col("words") / UNIT).otherwise(0.0).alias("value"))
@@ -245,16 +284,18 @@ def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch) -> DataFr
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER, label_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Each class has a Kneser-Ney model of the letters in words, over all labelled
-    rows outside fold 1; both back off to one model of their pooled counts.  A
-    gram counts once for each distinct text with a word that has it, so copies
-    and repetition in a text weigh nothing.  A text's value is the difference of
-    its toxic and ordinary log-likelihoods over its number of words, where a word
-    of a toxic text comes from the toxic model with probability TOXIC_SHARE and
-    else from the ordinary one.  A logistic curve over the value's order of
-    size, fitted on a slice of the training texts that is kept out of the models,
-    turns it into the score.  Both classes are taken as equally likely beforehand,
-    so the score compares likelihoods and doesn't follow the share of toxic labels.
+    Each class has a Kneser-Ney model of the letters in words, over labelled rows
+    outside fold 1; both back off to one model of their pooled counts.  A gram
+    counts once for each distinct text with a word that has it, so copies and
+    repetition in a text weigh nothing.  Distinct texts fall into MODELS parts,
+    and a text is valued by models of the other parts' texts, so no text's value
+    follows from its own label.  A text's value is the difference of its toxic and
+    ordinary log-likelihoods over its number of words, where a word of a toxic
+    text comes from the toxic model with probability TOXIC_SHARE and else from the
+    ordinary one.  A logistic curve over the value's order of size, fitted on all
+    training texts, turns it into the score; one that would fall is taken as flat.
+    Both classes are taken as equally likely beforehand, so the score compares
+    likelihoods and doesn't follow the share of toxic labels.
 
     All letters, all grams and all words count, and the order is the same for any
     input.  Distinct words are valued once; the texts are read once for that and
@@ -273,30 +314,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     small = lambda t: F.broadcast(t) if t.count() <= LABEL_ROWS else t
     # one document stands for each distinct labelled text
     of_text = texts.select("doc_id", "text_key").join(small(marks), "doc_id").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
-    of_text = scratch.keep(of_text.withColumn("apart", F.pmod(F.xxhash64(F.lit(SLICE), "text_key"), F.lit(SLICE)) == 0))
-    sizes = {(r["apart"], r["label"]): r["count"] for r in of_text.groupBy("apart", "label").count().collect()}
-    apart = F.col("apart") if min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE else F.lit(False)
-    training = scratch.keep(of_text.where(~apart).select("doc_id", "text_key", "label"))
+    of_text = scratch.keep(of_text.withColumn("part", part_of(F.col("text_key"), MODELS)))
+    classes = {r["label"] for r in of_text.select("label").distinct().collect()}
     distinct = F.array_distinct(F.array_remove(F.split("text", SPACE), ""))
-    words = texts.where(fold(F.col("doc_id")) != 1).select("doc_id", "text_key", distinct.alias("words")).join(small(training), ["doc_id", "text_key"])
-    words = learnt.keep(word_counts(words.select("words", "label")))
-    weights = scratch.keep(differences(learnt.keep(gram_counts(words, MARKS, order)), learnt, order))
+    training = texts.where(fold(F.col("doc_id")) != 1).select("doc_id", "text_key", distinct.alias("words")).join(small(of_text), ["doc_id", "text_key"])
+    words = learnt.keep(word_counts(training.select("words", "label", "part")))
+    counts = learnt.keep(others(gram_counts(words, MARKS, order), MODELS))
+    weights = scratch.keep(differences(counts, learnt, order))
     learnt.forget(*range(learnt.made))
     every = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    values = scratch.keep(text_values(texts, word_values(valued.keep(every), weights, valued, order), valued))
+    values = scratch.keep(text_values(texts, word_values(every, weights, valued, order, MODELS), valued, MODELS))
     valued.forget(*range(valued.made))
-    score = F.lit(1.0 if sizes and all(k for _, k in sizes) else 0.0)
-    if {k for _, k in sizes} == {0, 1}:
-        fitting = of_text.where("apart") if min(sizes.get((True, k), 0) for k in (0, 1)) >= CALIBRATE else of_text
-        met = values.groupBy("text_key").agg(F.first("value").alias("value")).join(fitting, "text_key")
-        bins = met.groupBy(F.round(F.least(F.greatest("value", F.lit(-LIMIT)), F.lit(LIMIT)) * STEPS).alias("bin"), "label").count().collect()
-        rows = [(r["bin"] / STEPS, r["label"], r["count"]) for r in sorted(bins)]
+    score = F.lit(1.0 if 1 in classes and 0 not in classes else 0.0)
+    if classes == {0, 1}:
+        met = values.groupBy("text_key").agg(F.first("value").alias("value")).join(of_text, "text_key")
+        bins = met.groupBy(F.round(F.asinh(F.col("value") * NEAR) * FAR).alias("bin"), "label").count().collect()  # by the logarithm, so about a million at most
+        rows = [(math.sinh(r["bin"] / FAR) / NEAR, r["label"], r["count"]) for r in sorted(bins)]
         middle = median([(x, n) for x, _, n in rows])
-        spread = max(1 / STEPS, median([(abs(x - middle), n) for x, _, n in rows]))
+        spread = max(1 / NEAR, median([(abs(x - middle), n) for x, _, n in rows]))
         # toxic texts' values are far above the others' and far apart, so the curve is one of their order of size
         slope, intercept = logistic([(math.asinh((x - middle) / spread), y, n) for x, y, n in rows])
         of_class = [sum(n for _, y, n in rows if y == k) for k in (0, 1)]
-        intercept += math.log(of_class[0] / of_class[1])
-        score = 1 / (1 + F.exp(-(F.lit(slope) * F.asinh((F.col("value") - middle) / spread) + F.lit(intercept))))
+        intercept = intercept + math.log(of_class[0] / of_class[1]) if slope > 0 else 0.0
+        score = 1 / (1 + F.exp(-(F.lit(max(slope, 0.0)) * F.asinh((F.col("value") - middle) / spread) + F.lit(intercept))))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return values.withColumn("score", score).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabprep.llm import toxicity
 from tabprep.llm.scratch import Scratch
@@ -69,18 +70,31 @@ def test_edges(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 5
 
 
-def test_a_large_model_keeps_its_order_and_scores(spark, corpus, monkeypatch):
+def test_frequent_grams_are_dealt_and_change_nothing(spark, monkeypatch):
+    grams = [("a", 0.5), ("\x02a", 0.25), ("aaa", 1.0), ("aa\x03", -2.0), ("ab\x03", 3.0)]
+    weights = spark.createDataFrame([(g, w, m) for g, w in grams for m in (0, 1)], "gram string, weight double, model int").withColumn("weight", F.col("weight") * (F.col("model") + 1))
+    words = spark.createDataFrame([("a" * k, k) for k in range(1, 60)] + [("cab", 1), ("日本", 2)], "word string, n long").repartition(5)
+    values = lambda: {(r["word"], r["n"]): r["value"] for r in toxicity.word_values(words, weights, Scratch(spark, "test"), 3, 2).collect()}
+    whole = values()
+    assert len(whole) == 61
+    for (word, _), got in whole.items():
+        w = "\x02" + word + "\x03"
+        total = sum(dict(grams).get(w[max(0, i - 2) : i + 1], 0.0) for i in range(1, len(w)))
+        due = [math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * math.exp(total * k)) for k in (1, 2)]
+        assert [v / toxicity.UNIT for v in got] == pytest.approx(due, abs=1e-7)
+    for hot in (1, 5, 40):
+        monkeypatch.setattr(toxicity, "HOT_GRAMS", hot)
+        assert values() == whole
+    monkeypatch.setattr(toxicity, "BATCH", 7)
+    assert values() == whole
+
+
+def test_a_text_of_one_long_word_is_read_whole(spark, corpus):
     rows, labels = corpus
-    docs = spark.createDataFrame(rows[:200], "doc_id long, text string, x string")
-    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    scores = lambda: {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, marks).collect()}
-    whole = scores()
-    for limit in ("MOST_ENTRIES", "PART_ENTRIES"):
-        monkeypatch.setattr(toxicity, limit, 50, raising=False)
-    passes, one_pass = [], getattr(toxicity, "one_pass", None)
-    monkeypatch.setattr(toxicity, "one_pass", lambda d, model, *more: passes.append(len(model)) or one_pass(d, model, *more), raising=False)
-    assert scores() == pytest.approx(whole, abs=1e-9)
-    assert len(passes) > 4 and max(passes) < 100
+    docs = spark.createDataFrame([*((i, t) for i, t, _ in rows[:150]), (1001, "ab" * 150_000), (1002, "zwik" * 50_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert len(found) == 152 and all(0 <= x <= 1 for x in found.values())
+    assert found[1002] > found[1001]
 
 
 def test_letters_of_large_scripts_are_told_apart(spark):
@@ -170,3 +184,37 @@ def test_values_match_brute_force(spark, monkeypatch, dictionary):
     value = brute_values(texts, labels, 3)
     for i, t in enumerate(asked):
         assert found[i] == pytest.approx(np.mean([value(w) for w in t.split()]) if t.split() else 0, abs=1e-8)
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Values by the models of the other parts' texts, and a curve found by descent on the training texts' values."""
+    monkeypatch.setattr(toxicity, "MODELS", 3)
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcde"), int(rng.integers(2, 5)))) for _ in range(40)]
+    texts = [" ".join([*rng.choice(vocabulary, 8), *(["xoqa"] if i % 3 == 0 else [])]) for i in range(60)]
+    texts[7], texts[40] = texts[4], ""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 60)]
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), order=3).collect()}
+    part = {r["text"]: r["part"] for r in docs.select("text", toxicity.part_of(F.xxhash64("text"), 3).alias("part")).collect()}
+    label = {}
+    for i, y in labels:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            label[texts[i]] = max(y, label.get(texts[i], 0))
+    models = [brute_values(*map(list, zip(*((t, y) for t, y in label.items() if part[t] != m), strict=True)), 3) for m in range(3)]
+    value = {t: np.mean([models[part[t]](w) for w in t.split()]) if t.split() else 0.0 for t in set(texts)}
+    x, y = (np.array(c, float) for c in zip(*((value[t], k) for t, k in label.items()), strict=True))
+    at = lambda v: sorted(v)[math.ceil(len(v) / 2) - 1]
+    middle = at(x)
+    spread = at(abs(x - middle))
+    z = np.arcsinh((x - middle) / spread)
+    scale, beta = z.std(), np.zeros(2)
+    for _ in range(200_000):
+        p = 1 / (1 + np.exp(-(beta[0] * z / scale + beta[1])))
+        step = np.array([((y - p) * z / scale).sum() - 1e-2 * beta[0], (y - p).sum() - 1e-4 * beta[1]])
+        beta = beta + 0.02 * step
+        if abs(step).max() < 1e-9:
+            break
+    due = beta[1] + math.log((y == 0).sum() / (y == 1).sum())
+    for i, t in enumerate(texts):
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-(beta[0] / scale * math.asinh((value[t] - middle) / spread) + due))), abs=1e-3)
