@@ -21,8 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, ROW_WORDS, BLOCK_BITS = 4096, 16, 30
 #: Branches of the tree that the driver splits; below each, a task splits the sources.
 BRANCHES = 1024
-#: The sampler's limit on a population; larger ones are drawn by the normal law that they follow.
-POPULATION = 500_000_000
+#: The library sampler's limit on a population; from there on the same law is drawn in steps, the last FEW draws one by one.
+POPULATION, FEW = 500_000_000, 32
 STRATA = ["no_source", "source_name"]
 
 
@@ -60,12 +60,25 @@ def with_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def drawn_from(rng: np.random.Generator, good: int, bad: int, number: int) -> int:
-    """How many of ``number`` draws without replacement are good."""
+    """How many of ``number`` draws without replacement are good: the hypergeometric law at any size.
+
+    A large population is first drawn from item by item at equal chances, which
+    gives a uniform set of nearly the right size; what it lacks is drawn from the
+    rest, what it has too much is drawn from it again.  Each step leaves about
+    the square root of the draws before it.
+    """
     if good + bad < POPULATION:
         return int(rng.hypergeometric(good, bad, number)) if number else 0
-    part = good / (good + bad)
-    spread = math.sqrt(number * part * (1 - part) * (good + bad - number) / (good + bad - 1))
-    return min(good, number, max(0, number - bad, round(rng.normal(number * part, spread))))
+    if number <= FEW:
+        met = 0
+        for k in range(number):
+            met += int(rng.integers(good + bad - k)) < good - met
+        return met
+    chance = number / (good + bad)
+    x, y = int(rng.binomial(good, chance)), int(rng.binomial(bad, chance))
+    if x + y > number:
+        return x - drawn_from(rng, x, y, x + y - number)
+    return x + drawn_from(rng, good - x, bad - y, number - x - y)
 
 
 def split_quotas(blocks: list[int], of_shard: list[int], rng: np.random.Generator) -> np.ndarray:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -226,3 +227,23 @@ def test_shards_match_brute_force(spark, shards):
         expected.append((k, crc, size, shard, i - (len(order) * shard + shards - 1) // shards))
     found = sharding.interleave(spark.createDataFrame(ROWS, KIND), shards).select("doc_id", "text_crc32", "size", "shard", "slot").collect()
     assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
+def test_draws_from_a_large_population_follow_the_same_law(monkeypatch):
+    rng = np.random.default_rng(3)
+    for good, bad, number in ((5 * 10**11, 3 * 10**11, 4 * 10**11), (10**10, 7, 10**10), (10**10, 7 * 10**8, 10**9), (0, 10**12, 50), (10**12, 0, 10**11)):
+        part, n = good / (good + bad), good + bad
+        spread = math.sqrt(number * part * (1 - part) * (n - number) / (n - 1))
+        found = np.array([mixing.drawn_from(rng, good, bad, number) for _ in range(400)])
+        assert (found >= max(0, number - bad)).all() and (found <= min(good, number)).all()
+        assert abs((found - number * part).mean()) <= 5 * spread / 20 + 1e-3
+        if spread >= 1:  # seven of ten thousand million and seven stay behind: whole numbers hardly ever vary
+            assert 0.8 * spread <= found.std() <= 1.2 * spread
+    monkeypatch.setattr(mixing, "POPULATION", 0)
+    for few in (0, 3, 32):
+        monkeypatch.setattr(mixing, "FEW", few)
+        for good, bad, number in ((30, 50, 40), (5, 3, 8), (4, 90, 60), (9, 9, 1)):
+            found = np.bincount([mixing.drawn_from(rng, good, bad, number) for _ in range(4000)], minlength=good + 1)
+            due = np.array([math.comb(good, k) * math.comb(bad, number - k) if k <= number else 0 for k in range(good + 1)]) / math.comb(good + bad, number)
+            assert found.sum() == 4000 and not found[due == 0].any()
+            assert (abs(found - 4000 * due) <= 6 * np.sqrt(4000 * due * (1 - due)) + 4).all()
