@@ -244,6 +244,6 @@ def test_draws_from_a_large_population_follow_the_same_law(monkeypatch):
         monkeypatch.setattr(mixing, "FEW", few)
         for good, bad, number in ((30, 50, 40), (5, 3, 8), (4, 90, 60), (9, 9, 1)):
             found = np.bincount([mixing.drawn_from(rng, good, bad, number) for _ in range(4000)], minlength=good + 1)
-            due = np.array([math.comb(good, k) * math.comb(bad, number - k) if k <= number else 0 for k in range(good + 1)]) / math.comb(good + bad, number)
+            due = np.array([math.comb(good, k) * math.comb(bad, number - k) if k <= number else 0 for k in range(good + 1)], float) / math.comb(good + bad, number)
             assert found.sum() == 4000 and not found[due == 0].any()
             assert (abs(found - 4000 * due) <= 6 * np.sqrt(4000 * due * (1 - due)) + 4).all()
