@@ -41,17 +41,10 @@ def part_of(text_key: Column, models: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(models), text_key), F.lit(models)).cast("int")
 
 
-def of_model(counts: DataFrame) -> list[str]:
-    """The column that tells models apart, if the counts are of several."""
-    return [c for c in ("model",) if c in counts.columns]
-
-
-def discount(counts: DataFrame, column: str) -> Column:
-    """Kneser-Ney's discount of each model, from how many counts are 1 and 2."""
-    key = of_model(counts)
-    rows = counts.groupBy(*key).agg(F.count_if(F.col(column) == 1).alias("once"), F.count_if(F.col(column) == 2).alias("twice")).collect()  # a row a model
-    cut = {r["model"] if key else 0: min(0.95, max(0.1, r["once"] / (r["once"] + 2 * r["twice"]))) if r["once"] else 0.5 for r in rows}
-    return F.element_at(F.array(*(F.lit(cut.get(m, 0.5)) for m in range(max(cut, default=0) + 1))), F.col("model") + 1 if key else F.lit(1))
+def discounts(counts: DataFrame, *columns: Column) -> list[float]:
+    """Kneser-Ney's discount for each column, from how many counts are 1 and 2."""
+    met = counts.agg(*(F.count_if(c == k) for c in columns for k in (1, 2))).first()
+    return [min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5 for once, twice in zip(met[::2], met[1::2], strict=True)]
 
 
 def head(c: str = "gram") -> Column:
@@ -62,30 +55,22 @@ def tail(c: str = "gram") -> Column:
     return F.expr(f"substring({c}, 2)")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows (word, toxic, ordinary) from rows (words, label), a text's distinct words: how many texts of a class have the word; by part if there is one."""
-    key = [c for c in ("part",) if c in rows.columns]
-    words = rows.select(F.explode("words").alias("word"), "label", *key)
-    return words.groupBy("word", *key).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
+def word_counts(rows: DataFrame, models: int = 0) -> DataFrame:
+    """Rows (word, toxic, ordinary) from rows (words, label), a text's distinct words: how many texts of a class have the word; and toxic_0, ... in each ``part``."""
+    of_class = {"toxic": F.col("label") == 1, "ordinary": F.col("label") == 0}
+    own = [F.count_if(met & (F.col("part") == m)).alias(f"{name}_{m}") for name, met in of_class.items() for m in range(models)]
+    words = rows.select(F.explode("words").alias("word"), "label", *(["part"] if models else []))
+    return words.groupBy("word").agg(*(F.count_if(met).alias(name) for name, met in of_class.items()), *own)
 
 
 def gram_counts(words: DataFrame, rare: str, order: int) -> DataFrame:
-    """Rows (gram, toxic, ordinary): in how many texts' words its last letter follows its others, which reach back to the word's begin at most."""
-    key = [c for c in ("part",) if c in words.columns]
+    """Rows (gram, toxic, ordinary, ...): in how many texts' words its last letter follows its others, which reach back to the word's begin at most."""
+    figures = [c for c in words.columns if c != "word"]
     whole = F.concat(F.lit(BEGIN), F.regexp_replace("word", rare, RARE), F.lit(END))
-    spelled = words.select(whole.alias("w"), "toxic", "ordinary", *key)
-    ends = F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end")
-    at = spelled.select("w", "toxic", "ordinary", *key, ends)
+    at = words.select(whole.alias("w"), *figures).select("w", *figures, F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end"))
     start = F.greatest(F.col("end") - order + 1, F.lit(1))
     gram = F.substr(F.col("w"), start, F.col("end") - start + 1)
-    return at.groupBy(gram.alias("gram"), *key).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def others(counts: DataFrame, models: int) -> DataFrame:
-    """Rows (model, gram, toxic, ordinary) from counts by part: each part's model has the counts of the other parts together."""
-    left = F.filter(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: m != F.col("part"))
-    each = counts.select(F.explode(left).alias("model"), "gram", "toxic", "ordinary")
-    return each.groupBy("model", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return at.groupBy(gram.alias("gram")).agg(*(F.sum(c).alias(c) for c in figures))
 
 
 def pooled(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
@@ -95,58 +80,63 @@ def pooled(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
     probability that Kneser-Ney's discount sets aside there; low: the last
     letter's probability behind a context one letter shorter.  Grams of full
     length and of word begins count as often as they occur; each shorter gram
-    counts how many letters it follows.  Each model has its own figures.
+    counts how many letters it follows.
     """
-    key = of_model(counts)
-    known = counts.select(*key, "gram", (F.col("toxic") + F.col("ordinary")).alias("n"))
-    level = known.where(F.length("gram") == order).select(*key, "gram")
+    known = counts.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"))
+    level = known.where(F.length("gram") == order).select("gram")
     lower: dict[int, DataFrame] = {}
     for k in range(order - 1, 0, -1):
-        lower[k] = scratch.keep(level.groupBy(*key, tail().alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-        level = lower[k].select(*key, "gram").union(known.where(F.length("gram") == k).select(*key, "gram"))
+        lower[k] = scratch.keep(level.groupBy(tail().alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        level = lower[k].select("gram").union(known.where(F.length("gram") == k).select("gram"))
 
     def smoothed(own: DataFrame, below: DataFrame | None) -> DataFrame:
-        d = discount(own, "n")
-        sums = own.groupBy(*key, head().alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        t = own.withColumn("context", head()).join(sums, [*key, "context"])
+        (d,) = discounts(own, F.col("n"))
+        sums = own.groupBy(head().alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        t = own.withColumn("context", head()).join(sums, "context")
         t = t.withColumns({"pool": F.col("n") / F.col("total"), "reserved": d * F.col("kinds") / F.col("total"), "shorter": tail()})
         t = t.withColumn("part", F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total"))
         if below is None:
             t = t.withColumn("low", 1 / F.col("kinds"))
         else:
-            t = t.join(below.select(*key, F.col("gram").alias("shorter"), F.col("probability").alias("low")), [*key, "shorter"])
-        return t.select(*key, "gram", "pool", "reserved", "low", (F.col("part") + F.col("reserved") * F.col("low")).alias("probability"))
+            t = t.join(below.select(F.col("gram").alias("shorter"), F.col("probability").alias("low")), "shorter")
+        return t.select("gram", "pool", "reserved", "low", (F.col("part") + F.col("reserved") * F.col("low")).alias("probability"))
 
     below = None
     every = None
     for k in range(1, order):
         below = scratch.keep(smoothed(lower[k], below))
         every = below if every is None else every.union(below)
-    return counts.join(smoothed(known, every).drop("probability"), [*key, "gram"])
+    return counts.join(smoothed(known, every).drop("probability"), "gram")
 
 
-def differences(counts: DataFrame, scratch: Scratch, order: int) -> DataFrame:
-    """Rows (gram, weight): the logarithm of how much likelier the last letter is in the toxic model than in the ordinary one.
+def differences(counts: DataFrame, scratch: Scratch, order: int, models: int = 0) -> DataFrame:
+    """Rows (gram, weight): in each model, the logarithm of how much likelier the last letter is in toxic texts than in ordinary ones.
 
     Behind a context both classes set aside what the pooled counts do and back
     off to the same shorter context, so a letter that is new there weighs
     nothing.  The rest follows the class's discounted counts, completed from the
-    pooled ones.  With a column ``model`` each model has its own rows.
+    pooled ones.  The pooled counts know no labels and are those of all texts; the
+    classes' counts in the model of a part are those of the other parts, and a
+    gram that these haven't weighs nothing.  ``models`` = 0: one model, of all parts.
     """
-    key = of_model(counts)
     table = scratch.keep(pooled(counts, scratch, order).withColumn("context", head()))
-    discounts = {name: discount(table, name) for name in ("toxic", "ordinary")}
+    names = [(m, name) for m in range(models or 1) for name in ("toxic", "ordinary")]
+    count = {(m, name): F.col(name) - F.col(f"{name}_{m}") if models else F.col(name) for m, name in names}
+    cut = dict(zip(names, discounts(table, *(count[at] for at in names)), strict=True))
     sums = []
-    for name, d in discounts.items():
-        sums += [F.sum(name).alias(f"total_{name}"), F.sum(F.least(F.col(name), d)).alias(f"taken_{name}")]
-    t = table.join(table.groupBy(*key, "context").agg(*sums), [*key, "context"])
-    likely = {}
-    for name, d in discounts.items():
-        total = F.greatest(F.col(f"total_{name}"), F.lit(1))
-        own = F.greatest(F.col(name) - d, F.lit(0.0)) / total
-        rest = F.when(F.col(f"total_{name}") > 0, F.col(f"taken_{name}") / total).otherwise(1.0)
-        likely[name] = (1 - F.col("reserved")) * (own + rest * F.col("pool")) + F.col("reserved") * F.col("low")
-    return t.select(*key, "gram", F.log(likely["toxic"] / likely["ordinary"]).alias("weight"))
+    for m, name in names:
+        sums += [F.sum(count[m, name]).alias(f"total_{name}_{m}"), F.sum(F.least(count[m, name], F.lit(cut[m, name]))).alias(f"taken_{name}_{m}")]
+    t = table.join(table.groupBy("context").agg(*sums), "context")
+
+    def likely(m: int, name: str) -> Column:
+        met = F.col(f"total_{name}_{m}")
+        total = F.greatest(met, F.lit(1))
+        own = F.greatest(count[m, name] - cut[m, name], F.lit(0.0)) / total
+        rest = F.when(met > 0, F.col(f"taken_{name}_{m}") / total).otherwise(1.0)
+        return (1 - F.col("reserved")) * (own + rest * F.col("pool")) + F.col("reserved") * F.col("low")
+
+    weight = [F.when(count[m, "toxic"] + count[m, "ordinary"] > 0, F.log(likely(m, "toxic") / likely(m, "ordinary"))).otherwise(0.0) for m in range(models or 1)]
+    return t.select("gram", F.array(*weight).alias("weight"))
 
 
 def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -173,59 +163,59 @@ def median(rows: list[tuple[float, int]]) -> float:
 
 
 def spelled_grams(words: DataFrame, order: int) -> DataFrame:
-    """Rows (row, gram) from rows (row, word): each letter of a word and its end, behind ``order`` - 1 letters at most."""
+    """Rows (row, model, gram) from rows (row, model, word): each letter of a word and its end, behind ``order`` - 1 letters at most."""
+
+    def packed(rows: list[int], models: list[int], grams: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(models, pa.int32()), pa.array(grams, pa.string())], ["row", "model", "gram"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, grams = [], []
+        rows, models, grams = [], [], []
         for batch in batches:
-            for row, word in zip(batch.column("row").to_pylist(), batch.column("word").to_pylist(), strict=True):
+            for row, model, word in zip(*(batch.column(c).to_pylist() for c in ("row", "model", "word")), strict=True):
                 w = BEGIN + word + END
                 for first in range(1, len(w), BATCH):
                     ends = range(first, min(len(w), first + BATCH))
                     grams += [w[max(0, i - order + 1) : i + 1] for i in ends]
                     rows += [row] * len(ends)
+                    models += [model] * len(ends)
                     if len(grams) >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string())], ["row", "gram"])
-                        rows, grams = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string())], ["row", "gram"])
+                        yield packed(rows, models, grams)
+                        rows, models, grams = [], [], []
+        yield packed(rows, models, grams)
 
-    return words.select("row", "word").mapInArrow(spell, "row long, gram string")
+    return words.select("row", "model", "word").mapInArrow(spell, "row long, model int, gram string")
 
 
-def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int, models: int = 1) -> DataFrame:
-    """Rows (word, n, value) of the distinct words: in each model, the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
+def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
+    """Rows (word, model, n, value) of distinct words and models: the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
 
     In a toxic text TOXIC_SHARE of the words come from the toxic model and the
     others from the ordinary one, so a word's likelihood there is a mixture.  The
-    words' grams meet the weights in a join.  A gram that takes more than one
-    part in HOT_GRAMS of its rows is dealt over several keys; there are fewer
-    than HOT_GRAMS of these, whatever the words are, so their list is broadcast.
+    words' grams meet the weights in a join; most words are in texts of one part,
+    so they need one model's weights.  A gram that takes more than one part in
+    HOT_GRAMS of the rows is dealt over several keys; there are fewer than
+    HOT_GRAMS of these, whatever the words are, so their list is broadcast.
     """
-    table = scratch.keep(words.select("word", "n").withColumn("row", F.monotonically_increasing_id()))
+    model = F.col("model") if "model" in words.columns else F.lit(0).alias("model")
+    table = scratch.keep(words.select("word", model, "n").withColumn("row", F.monotonically_increasing_id()))
     total = table.agg(F.sum(F.length("word").cast("long") + 1)).first()[0] or 0
     grams = spelled_grams(table, order)
     counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") * HOT_GRAMS > total)
     hot = F.broadcast(scratch.keep(counted.select("gram", F.ceil(F.col("met") * HOT_GRAMS / total).cast("int").alias("keys"))))
-    model = F.col("model") if "model" in weights.columns else F.lit(0)
-    names = [f"weight_{m}" for m in range(models)]
-    whole = F.round(F.col("weight") * UNIT).cast("long")
-    wide = weights.groupBy("gram").agg(*(F.sum(F.when(model == m, whole).otherwise(0)).alias(c) for m, c in enumerate(names)))
     keys = F.coalesce("keys", F.lit(1))
-    dealt = wide.join(hot, "gram", "left").select("gram", *names, F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
-    asked = grams.join(hot, "gram", "left").select("row", "gram", F.pmod(F.col("row"), keys).cast("int").alias("key"))
-    sums = asked.join(dealt, ["gram", "key"]).groupBy("row").agg(*(F.sum(c).alias(c) for c in names))
-
-    def mixed(c: str) -> Column:
-        t, share = F.coalesce(F.col(c), F.lit(0)) / UNIT, F.lit(TOXIC_SHARE)
-        return F.round(F.when(t > 0, t + F.log(share + (1 - share) * F.exp(-t))).otherwise(F.log1p(share * F.expm1(t))) * UNIT).cast("long")
-
-    out = scratch.keep(table.join(sums, "row", "left").select("word", "n", F.array(*map(mixed, names)).alias("value")))
+    dealt = weights.join(hot, "gram", "left").select("gram", "weight", F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
+    asked = grams.join(hot, "gram", "left").select("row", "model", "gram", F.pmod(F.col("row"), keys).cast("int").alias("key"))
+    weight = F.round(F.element_at("weight", F.col("model") + 1) * UNIT).cast("long")
+    sums = asked.join(dealt, ["gram", "key"]).select("row", weight.alias("weight")).where("weight <> 0").groupBy("row").agg(F.sum("weight").alias("total"))
+    t, share = F.coalesce("total", F.lit(0)) / UNIT, F.lit(TOXIC_SHARE)
+    mixed = F.when(t > 0, t + F.log(share + (1 - share) * F.exp(-t))).otherwise(F.log1p(share * F.expm1(t)))
+    out = scratch.keep(table.join(sums, "row", "left").select("word", "model", "n", F.round(mixed * UNIT).cast("long").alias("value")))
     scratch.forget(scratch.made - 3, scratch.made - 2)
     return out
 
 
-def common_words(values: DataFrame, models: int) -> tuple[dict[bytes, int], np.ndarray, int]:
-    """The words that occur most, DICTIONARY at most, numbered; their values, a row a model; and how often a word must occur to be one of them."""
+def common_words(values: DataFrame) -> tuple[dict[int, dict[bytes, int]], int]:
+    """For each model the values of the words that occur most, DICTIONARY in all at most, and how often a word must occur to be one of them."""
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(map(tuple, values.groupBy(step.alias("step")).count().collect()), reverse=True)  # a row for each eighth of a doubling
     least, held = None, 0
@@ -235,10 +225,12 @@ def common_words(values: DataFrame, models: int) -> tuple[dict[bytes, int], np.n
             break
         least = at
     if least is None:
-        return {}, np.zeros((models, 1), np.int64), 1 << 62
-    known = values.where(step >= least).select(F.col("word").cast("binary").alias("word"), "value").toArrow()
-    found = np.array(known.column("value").combine_chunks().flatten(), np.int64).reshape(-1, models).T
-    return {w: i for i, w in enumerate(known.column("word").to_pylist())}, np.ascontiguousarray(found), 0 if least == sizes[-1][0] else least
+        return {}, 1 << 62
+    known = values.where(step >= least).select(F.col("word").cast("binary").alias("word"), "model", "value").toArrow()
+    found: dict[int, dict[bytes, int]] = {}
+    for word, model, value in zip(*(known.column(c).to_pylist() for c in ("word", "model", "value")), strict=True):
+        found.setdefault(model, {})[word] = value
+    return found, 0 if least == sizes[-1][0] else least
 
 
 def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch, models: int = 1) -> DataFrame:
@@ -248,22 +240,22 @@ def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch, models: i
     task; the others are few of a text's words, and each is in few texts, so they
     meet their values in a join.
     """
-    known, figures, least = common_words(values, models)
-    sent = texts.sparkSession.sparkContext.broadcast((known, figures))
+    known, least = common_words(values)
+    sent = texts.sparkSession.sparkContext.broadcast(known)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, of = sent.value
+        found = sent.value
         for batch in batches:
             totals, sizes, rest = [], [], []
             for text, model in zip(batch.column("text"), batch.column("model").to_pylist(), strict=True):
                 words = text.as_py().split()
-                met = list(map(found.get, words))
+                met = list(map(found.get(model, {}).get, words))
                 if None in met:
                     rest.append([w for w, v in zip(words, met, strict=True) if v is None])
                     met = [v for v in met if v is not None]
                 else:
                     rest.append([])
-                totals.append(int(of[model][met].sum()) if met else 0)
+                totals.append(sum(met))
                 sizes.append(len(words))
             columns = [*(batch.column(c) for c in ("doc_id", "text_key", "model", "row")), pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "model", "row", "total", "words", "rest"])
@@ -273,9 +265,8 @@ def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch, models: i
     total = F.col("total")
     if least:
         each = t.select("row", "model", F.explode(F.col("rest").cast("array<string>")).alias("word")).groupBy("row", "model", "word").agg(F.count(F.lit(1)).alias("times"))
-        rare = values.where(F.floor(F.log2("n") * 8) < least).select("word", "value") if least < 1 << 62 else values.select("word", "value")
-        own = F.element_at("value", F.col("model") + 1)
-        more = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * own).alias("more"))
+        rare = values.where(F.floor(F.log2("n") * 8) < least) if least < 1 << 62 else values
+        more = each.join(rare.select("word", "model", "value"), ["word", "model"]).groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
         t = t.join(more, "row", "left")
         total = total + F.coalesce("more", F.lit(0))
     return t.select("doc_id", "text_key", F.when(F.col("words") > 0, total / F.col("words") / UNIT).otherwise(0.0).alias("value"))
@@ -288,7 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     outside fold 1; both back off to one model of their pooled counts.  A gram
     counts once for each distinct text with a word that has it, so copies and
     repetition in a text weigh nothing.  Distinct texts fall into MODELS parts,
-    and a text is valued by models of the other parts' texts, so no text's value
+    and a text is valued by the models of the other parts' labels, so no text's value
     follows from its own label.  A text's value is the difference of its toxic and
     ordinary log-likelihoods over its number of words, where a word of a toxic
     text comes from the toxic model with probability TOXIC_SHARE and else from the
@@ -318,12 +309,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     classes = {r["label"] for r in of_text.select("label").distinct().collect()}
     distinct = F.array_distinct(F.array_remove(F.split("text", SPACE), ""))
     training = texts.where(fold(F.col("doc_id")) != 1).select("doc_id", "text_key", distinct.alias("words")).join(small(of_text), ["doc_id", "text_key"])
-    words = learnt.keep(word_counts(training.select("words", "label", "part")))
-    counts = learnt.keep(others(gram_counts(words, MARKS, order), MODELS))
-    weights = scratch.keep(differences(counts, learnt, order))
+    words = learnt.keep(word_counts(training.select("words", "label", "part"), MODELS))
+    weights = scratch.keep(differences(learnt.keep(gram_counts(words, MARKS, order)), learnt, order, MODELS))
     learnt.forget(*range(learnt.made))
-    every = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    values = scratch.keep(text_values(texts, word_values(every, weights, valued, order, MODELS), valued, MODELS))
+    every = texts.select(part_of(F.col("text_key"), MODELS).alias("model"), F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+    every = every.groupBy("word", "model").agg(F.count(F.lit(1)).alias("n"))
+    values = scratch.keep(text_values(texts, word_values(every, weights, valued, order), valued, MODELS))
     valued.forget(*range(valued.made))
     score = F.lit(1.0 if 1 in classes and 0 not in classes else 0.0)
     if classes == {0, 1}:

@@ -72,16 +72,17 @@ def test_edges(spark):
 
 def test_frequent_grams_are_dealt_and_change_nothing(spark, monkeypatch):
     grams = [("a", 0.5), ("\x02a", 0.25), ("aaa", 1.0), ("aa\x03", -2.0), ("ab\x03", 3.0)]
-    weights = spark.createDataFrame([(g, w, m) for g, w in grams for m in (0, 1)], "gram string, weight double, model int").withColumn("weight", F.col("weight") * (F.col("model") + 1))
-    words = spark.createDataFrame([("a" * k, k) for k in range(1, 60)] + [("cab", 1), ("日本", 2)], "word string, n long").repartition(5)
-    values = lambda: {(r["word"], r["n"]): r["value"] for r in toxicity.word_values(words, weights, Scratch(spark, "test"), 3, 2).collect()}
+    weights = spark.createDataFrame([(g, [w, 2 * w]) for g, w in grams], "gram string, weight array<double>")
+    words = [("a" * k, k % 2, k) for k in range(1, 60)] + [("cab", 0, 1), ("cab", 1, 1), ("日本", 1, 2)]
+    words = spark.createDataFrame(words, "word string, model int, n long").repartition(5)
+    values = lambda: {(r["word"], r["model"], r["n"]): r["value"] for r in toxicity.word_values(words, weights, Scratch(spark, "test"), 3).collect()}
     whole = values()
-    assert len(whole) == 61
-    for (word, _), got in whole.items():
+    assert len(whole) == 62
+    for (word, model, _), got in whole.items():
         w = "\x02" + word + "\x03"
         total = sum(dict(grams).get(w[max(0, i - 2) : i + 1], 0.0) for i in range(1, len(w)))
-        due = [math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * math.exp(total * k)) for k in (1, 2)]
-        assert [v / toxicity.UNIT for v in got] == pytest.approx(due, abs=1e-7)
+        due = math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * math.exp(total * (model + 1)))
+        assert got / toxicity.UNIT == pytest.approx(due, abs=1e-7)
     for hot in (1, 5, 40):
         monkeypatch.setattr(toxicity, "HOT_GRAMS", hot)
         assert values() == whole
@@ -119,8 +120,8 @@ def test_the_share_of_toxic_labels_does_not_move_the_cut(spark):
     assert np.mean([r["predicted"] for r in held if r["doc_id"] not in toxic]) < 0.05
 
 
-def brute_values(texts, labels, order):
-    """Kneser-Ney letter models of both classes over distinct texts, from the definitions, and each word's value."""
+def class_grams(texts, labels, order):
+    """Of each class, in how many distinct texts' words a gram occurs."""
     grams = [Counter(), Counter()]
     for k in (0, 1):
         texts_of = Counter(w for t in {t for t, y in zip(texts, labels, strict=True) if y == k} for w in set(t.split()))
@@ -128,7 +129,15 @@ def brute_values(texts, labels, order):
             s = "\x02" + w + "\x03"
             for e in range(1, len(s)):
                 grams[k][s[max(0, e - order + 1) : e + 1]] += n
+    return grams
+
+
+def brute_values(texts, labels, order, learnt=None):
+    """Kneser-Ney letter models of both classes over distinct texts, from the definitions, and each word's value; labels count of texts in ``learnt`` only."""
+    grams = class_grams(texts, labels, order)
     known = grams[0] + grams[1]
+    if learnt is not None:
+        grams = class_grams(*map(list, zip(*((t, y) for t, y in zip(texts, labels, strict=True) if t in learnt), strict=True)), order)
     shorter, level = {}, [g for g in known if len(g) == order]
     for k in range(order - 1, 0, -1):
         shorter[k] = Counter(g[1:] for g in level)
@@ -157,7 +166,7 @@ def brute_values(texts, labels, order):
             same = [m for h, m in grams[k].items() if h[:-1] == g[:-1]]
             own, rest = max(grams[k][g] - cuts[k], 0) / max(1, sum(same)), sum(min(m, cuts[k]) for m in same) / sum(same) if same else 1
             likely.append((1 - reserved) * (own + rest * pool) + reserved * low)
-        log_ratio[g] = math.log(likely[1] / likely[0])
+        log_ratio[g] = math.log(likely[1] / likely[0]) if grams[0][g] + grams[1][g] else 0.0
 
     def value(word):
         s = "\x02" + word + "\x03"
@@ -201,7 +210,7 @@ def test_scores_match_brute_force(spark, monkeypatch):
     for i, y in labels:
         if zlib.crc32(str(i).encode()) % 3 != 1:
             label[texts[i]] = max(y, label.get(texts[i], 0))
-    models = [brute_values(*map(list, zip(*((t, y) for t, y in label.items() if part[t] != m), strict=True)), 3) for m in range(3)]
+    models = [brute_values(list(label), list(label.values()), 3, {t for t in label if part[t] != m}) for m in range(3)]
     value = {t: np.mean([models[part[t]](w) for w in t.split()]) if t.split() else 0.0 for t in set(texts)}
     x, y = (np.array(c, float) for c in zip(*((value[t], k) for t, k in label.items()), strict=True))
     at = lambda v: sorted(v)[math.ceil(len(v) / 2) - 1]
