@@ -27,6 +27,8 @@ UNIT, DICTIONARY, LABEL_ROWS = 1 << 28, 400_000, 500_000
 MODELS = 4
 #: Steps in which values are counted for the calibration: of the value near 0, and of its logarithm far from it.
 NEAR, FAR = 1_000_000, 20_000
+#: Entries of a part of the model that the tasks hold at a time, and parts of a model at most; the grams of larger ones meet in a join.
+PART_ENTRIES, PARTS = 500_000, 8
 #: Grams that a task hands over at once.
 BATCH = 200_000
 
@@ -186,18 +188,41 @@ def spelled_grams(words: DataFrame, order: int) -> DataFrame:
     return words.select("row", "model", "word").mapInArrow(spell, "row long, model int, gram string")
 
 
-def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
-    """Rows (word, model, n, value) of distinct words and models: the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
+def passed(words: DataFrame, weights: DataFrame, order: int, parts: int, scratch: Scratch) -> DataFrame:
+    """Rows (word, model, n, total): each of ``parts`` parts of the weights passes over the words once."""
 
-    In a toxic text TOXIC_SHARE of the words come from the toxic model and the
-    others from the ordinary one, so a word's likelihood there is a mixture.  The
-    words' grams meet the weights in a join; most words are in texts of one part,
-    so they need one model's weights.  A gram that takes more than one part in
-    HOT_GRAMS of the rows is dealt over several keys; there are fewer than
-    HOT_GRAMS of these, whatever the words are, so their list is broadcast.
+    def one_pass(t: DataFrame, part: pa.Table) -> DataFrame:
+        of_model = np.array(part.column("weight").combine_chunks().flatten(), np.int64).reshape(max(1, part.num_rows), -1).T.copy()
+        sent = t.sparkSession.sparkContext.broadcast(({g: i for i, g in enumerate(part.column("gram").to_pylist())}, of_model))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, figures = sent.value
+            for batch in batches:
+                out = []
+                for word, model, total in zip(*(batch.column(c).to_pylist() for c in ("word", "model", "total")), strict=True):
+                    w = BEGIN + word + END
+                    met = [i for i in map(number.get, [w[max(0, e - order + 1) : e + 1] for e in range(1, len(w))]) if i is not None]
+                    out.append(total + int(figures[model, met].sum()) if met else total)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "model", "n")), pa.array(out, pa.int64())], ["word", "model", "n", "total"])
+
+        return t.select("word", "model", "n", "total").mapInArrow(add, "word string, model int, n long, total long")
+
+    t = words.withColumn("total", F.lit(0).cast("long"))
+    for k in range(parts):
+        t = scratch.keep(one_pass(t, weights.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()))
+        if k:
+            scratch.forget(scratch.made - 2)
+    return t
+
+
+def joined(words: DataFrame, weights: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """Rows (word, model, n, total): the words' grams meet the weights in a join.
+
+    A gram that takes more than one part in HOT_GRAMS of the rows is dealt over
+    several keys; there are fewer than HOT_GRAMS of these, whatever the words
+    are, so their list is broadcast.
     """
-    model = F.col("model") if "model" in words.columns else F.lit(0).alias("model")
-    table = scratch.keep(words.select("word", model, "n").withColumn("row", F.monotonically_increasing_id()))
+    table = scratch.keep(words.withColumn("row", F.monotonically_increasing_id()))
     total = table.agg(F.sum(F.length("word").cast("long") + 1)).first()[0] or 0
     grams = spelled_grams(table, order)
     counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") * HOT_GRAMS > total)
@@ -205,12 +230,29 @@ def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: i
     keys = F.coalesce("keys", F.lit(1))
     dealt = weights.join(hot, "gram", "left").select("gram", "weight", F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
     asked = grams.join(hot, "gram", "left").select("row", "model", "gram", F.pmod(F.col("row"), keys).cast("int").alias("key"))
-    weight = F.round(F.element_at("weight", F.col("model") + 1) * UNIT).cast("long")
-    sums = asked.join(dealt, ["gram", "key"]).select("row", weight.alias("weight")).where("weight <> 0").groupBy("row").agg(F.sum("weight").alias("total"))
-    t, share = F.coalesce("total", F.lit(0)) / UNIT, F.lit(TOXIC_SHARE)
+    weight = F.element_at("weight", F.col("model") + 1).alias("weight")
+    sums = asked.join(dealt, ["gram", "key"]).select("row", weight).where("weight <> 0").groupBy("row").agg(F.sum("weight").alias("total"))
+    return table.join(sums, "row", "left").drop("row").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
+def word_values(words: DataFrame, weights: DataFrame, scratch: Scratch, order: int) -> DataFrame:
+    """Rows (word, model, n, value) of distinct words and models: the logarithm of how much likelier a toxic text has the word, in steps of 1 / UNIT.
+
+    In a toxic text TOXIC_SHARE of the words come from the toxic model and the
+    others from the ordinary one, so a word's likelihood there is a mixture.  A
+    model of PARTS parts at most passes over the words part by part; a larger one
+    meets their grams in a join.  Weights are whole numbers, so both ways give
+    the same sums to the last digit.
+    """
+    model = F.col("model") if "model" in words.columns else F.lit(0).alias("model")
+    given = words.select("word", model, "n")
+    whole = weights.select("gram", F.transform("weight", lambda w: F.round(w * UNIT).cast("long")).alias("weight"))
+    parts, first = max(1, math.ceil(weights.count() / PART_ENTRIES)), scratch.made
+    found = passed(given, whole, order, parts, scratch) if parts <= PARTS else joined(given, whole, order, scratch)
+    t, share = F.col("total") / UNIT, F.lit(TOXIC_SHARE)
     mixed = F.when(t > 0, t + F.log(share + (1 - share) * F.exp(-t))).otherwise(F.log1p(share * F.expm1(t)))
-    out = scratch.keep(table.join(sums, "row", "left").select("word", "model", "n", F.round(mixed * UNIT).cast("long").alias("value")))
-    scratch.forget(scratch.made - 3, scratch.made - 2)
+    out = scratch.keep(found.select("word", "model", "n", F.round(mixed * UNIT).cast("long").alias("value")))
+    scratch.forget(*range(first, scratch.made - 1))
     return out
 
 

@@ -70,7 +70,7 @@ def test_edges(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 5
 
 
-def test_frequent_grams_are_dealt_and_change_nothing(spark, monkeypatch):
+def test_parts_and_dealt_grams_change_nothing(spark, monkeypatch):
     grams = [("a", 0.5), ("\x02a", 0.25), ("aaa", 1.0), ("aa\x03", -2.0), ("ab\x03", 3.0)]
     weights = spark.createDataFrame([(g, [w, 2 * w]) for g, w in grams], "gram string, weight array<double>")
     words = [("a" * k, k % 2, k) for k in range(1, 60)] + [("cab", 0, 1), ("cab", 1, 1), ("日本", 1, 2)]
@@ -83,6 +83,9 @@ def test_frequent_grams_are_dealt_and_change_nothing(spark, monkeypatch):
         total = sum(dict(grams).get(w[max(0, i - 2) : i + 1], 0.0) for i in range(1, len(w)))
         due = math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * math.exp(total * (model + 1)))
         assert got / toxicity.UNIT == pytest.approx(due, abs=1e-7)
+    monkeypatch.setattr(toxicity, "PART_ENTRIES", 2)
+    assert values() == whole
+    monkeypatch.setattr(toxicity, "PARTS", 1)
     for hot in (1, 5, 40):
         monkeypatch.setattr(toxicity, "HOT_GRAMS", hot)
         assert values() == whole
