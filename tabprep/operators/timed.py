@@ -1,4 +1,4 @@
-"""Joins by time: the last row at or before another, and points in intervals."""
+"""Joins by time: the last row at or before another, points in intervals, and their sums."""
 
 from __future__ import annotations
 
@@ -113,3 +113,54 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], time:
         met = dealt.join(copies, [*at, "part"])
     met = met.where("start <= time AND time < stop")
     return met.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(points.columns)], *[F.col(f"other.c{i}").alias(prefix + c) for i, c in enumerate(names)])
+
+
+def attached(rows: DataFrame, table: DataFrame, at: list[str], most: int) -> DataFrame:
+    """``rows`` with the columns of the one row that ``table`` has for their ``at``; rows of a key with more than ``most`` are dealt, its row in ``table`` repeated."""
+    counts = written(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    if counts.isEmpty():
+        return rows.join(table, at)
+    parts = small(written(counts.select(*at, F.ceil(F.col("n") / most).cast("int").alias("parts"))))
+    several = F.coalesce("parts", F.lit(1))
+    rest = [c for c in rows.columns if c not in at]
+    dealt = rows.join(parts, at, "left").withColumn("part", F.pmod(F.xxhash64(*rest), several).cast("int")).drop("parts")
+    copies = table.join(parts, at, "left").withColumn("part", F.explode(F.sequence(F.lit(0), several - 1))).drop("parts")
+    return dealt.join(copies, [*at, "part"]).drop("part")
+
+
+def interval_totals(points: DataFrame, intervals: DataFrame, on: list[str], time: str, start: str, end: str, sums: list[str], most: int = MOST) -> DataFrame:
+    """Each row of ``intervals`` with the number and sums of the ``points`` that :func:`interval_join` would meet it with, if there are any.
+
+    ``n`` counts the points and each of ``sums`` adds up that column of theirs,
+    without a row for each pair.  Points are added up once by time and by cells
+    whose widths are powers of two; an interval is made up of two cells of each
+    width at most, so the work grows with the rows and the logarithm of the
+    longest interval.  Nothing is subtracted, so sums of doubles lose no digits.
+    Equal intervals are looked up once.
+    """
+    keys, totals = [f"k{i}" for i in range(len(on))], [f"s{i}" for i in range(len(sums))]
+    own = [quoted(c).alias(k) for c, k in zip(on, keys, strict=True)]
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(intervals.columns)])
+    given = intervals.select(*own, quoted(start).cast("long").alias("start"), quoted(end).cast("long").alias("stop"), row.alias("row")).where("stop > start")
+    for k in keys:
+        given = given.where(F.col(k).isNotNull())
+    span = [*keys, "start", "stop"]
+    spans = written(given.select(*span).distinct())
+    longest = spans.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 1
+    cells = []
+    for width in range(int(longest).bit_length()):
+        # of the whole cells in the interval, the first if its number is odd and the last if it is even: the others pair up in wider cells
+        first, after = F.negative(F.shiftright(F.negative(F.col("start")), width)), F.shiftright("stop", width)
+        odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+        cells.append(F.when((first < after) & odd(first), F.struct(F.lit(width).alias("width"), first.alias("cell"))))
+        cells.append(F.when((first + odd(first).cast("long") < after) & odd(after), F.struct(F.lit(width).alias("width"), (after - 1).alias("cell"))))
+    asked = spans.select(*span, F.explode(F.array_compact(F.array(*cells))).alias("at")).select(*span, "at.width", "at.cell")
+    widths = sorted(r["width"] for r in asked.select("width").distinct().collect())
+    known = points.where(quoted(time).isNotNull()).select(*own, quoted(time).cast("long").alias("time"), *[quoted(c).alias(s) for c, s in zip(sums, totals, strict=True)])
+    added = [F.sum(s).alias(s) for s in totals]
+    known = written(known.groupBy(*keys, "time").agg(F.count(F.lit(1)).alias("n"), *added))
+    each = known.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("cell", F.expr("shiftright(time, width)"))
+    each = each.groupBy(*keys, "width", "cell").agg(F.sum("n").alias("n"), *added)
+    found = attached(asked, each, [*keys, "width", "cell"], most).groupBy(*span).agg(F.sum("n").alias("n"), *added)
+    met = attached(given, found, span, most)
+    return met.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(intervals.columns)], "n", *[F.col(s).alias(c) for c, s in zip(sums, totals, strict=True)])

@@ -18,7 +18,7 @@ from .operators.roles import column_roles as roles_of
 from .operators.shrink import apply_plan
 from .operators.shrink import shrink as narrowed
 from .operators.shrink import shrink_plan as plan_of
-from .operators.timed import asof_join, interval_join
+from .operators.timed import asof_join, interval_totals
 from .plans.catalogue import Catalogue, type_name
 from .plans.cleaning import Cleaner
 from .plans.grouped import grouped_profile
@@ -256,8 +256,8 @@ def interval_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("part"), day.alias("day"), "o_totalprice")
     spans = orders.select("o_orderkey", "part", F.col("day").alias("start"), (F.col("day") + 30).alias("end"))
-    met = interval_join(orders, spans, ["part"], "day", "start", "end", "span_", most=1000)
-    return met.groupBy(F.col("span_o_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    met = interval_totals(orders, spans, ["part"], "day", "start", "end", ["o_totalprice"])
+    return met.groupBy("o_orderkey").agg(F.sum("n").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def profile_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabprep.operators.timed import asof_join, interval_join
+from tabprep.operators.timed import asof_join, interval_join, interval_totals
 
 
 def made(seed, n):
@@ -50,6 +51,34 @@ def test_intervals_match_brute_force(spark, most):
     assert interval_join(found.limit(0).select("k", "t"), spark.createDataFrame(intervals, "k string, s long, e long, n long"), ["k"], "t", "s", "e").count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 4])
+def test_interval_totals_match_brute_force(spark, most):
+    rng = random.Random(6)
+    points = [(rng.choice(["h", "h", "a", "b", None]), rng.choice([None, *range(-50, 300)]), rng.choice([None, 0.5, 2.0, 3.25])) for _ in range(150)]
+    intervals = [(rng.choice(["h", "a", None]), s := rng.choice([None, *range(-60, 300)]), s if s is None else rng.choice([None, s - 1, s, s + 1, s + 3, s + 64, s + 1000]), k) for k in range(90)]
+    intervals += [("h", -7, 30, k) for k in range(90, 110)]
+    due = []
+    for i in intervals:
+        met = [p[2] for p in points if p[0] == i[0] is not None and None not in (p[1], i[1], i[2]) and i[1] <= p[1] < i[2]]
+        if met:
+            due.append((*i, len(met), sum(v for v in met if v is not None) if any(v is not None for v in met) else None))
+    given = spark.createDataFrame(intervals, "`k.1` string, s long, e long, n_ long")
+    found = interval_totals(spark.createDataFrame(points, "`k.1` string, t long, v double"), given, ["k.1"], "t", "s", "e", ["v"], most=most)
+    assert found.columns == ["k.1", "s", "e", "n_", "n", "v"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(due, key=repr) and len(due) > 40
+
+
+def test_interval_sums_makes_no_row_for_each_pair(spark, tmp_path):
+    """4,000 orders of one customer and one day make 16,000,000 pairs; no join compares times any more."""
+    from tabprep.queries import QUERIES
+
+    rows = spark.range(4000).selectExpr("id AS o_orderkey", "7L AS o_custkey", "timestamp_ntz'1995-01-01 00:00:00' AS o_orderdate", "1.5D AS o_totalprice")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["interval_sums"](spark, str(tmp_path))
+    assert set(map(tuple, found.select("n", "total").distinct().collect())) == {(4000, 6000.0)} and found.count() == 4000
+    assert not re.search(r"start#\d+L? <= time#", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_a_hot_key_lies_in_several_partitions(spark):
     """The window over a hot key's rows is partitioned by its cells as well."""
     rows = spark.range(3000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
