@@ -29,8 +29,10 @@ MODELS = 4
 NEAR, FAR = 1_000_000, 20_000
 #: Entries of a part of the model that the tasks hold at a time, and parts of a model at most; the grams of larger ones meet in a join.
 PART_ENTRIES, PARTS = 500_000, 8
-#: Grams that a task hands over at once.
-BATCH = 200_000
+#: Grams of the largest model that every task holds; the grams of larger ones meet those of the distinct words as above.
+HELD_ENTRIES = 2_000_000
+#: Grams that a task hands over or looks up at once, and words of texts that it takes together.
+BATCH, TOGETHER = 200_000, 1_000_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -314,6 +316,134 @@ def text_values(texts: DataFrame, values: DataFrame, scratch: Scratch, models: i
     return t.select("doc_id", "text_key", F.when(F.col("words") > 0, total / F.col("words") / UNIT).otherwise(0.0).alias("value"))
 
 
+class HeldModel:
+    """A model's grams as sorted numbers whose digits are their letters, with their weights of each model."""
+
+    def __init__(self, letters: np.ndarray, keys: np.ndarray, weights: np.ndarray, order: int):
+        self.letters, self.keys, self.weights, self.order = letters, keys, weights, order
+
+    @staticmethod
+    def base(letters: np.ndarray) -> int:
+        """0 is no letter, and the largest digit one that no gram has."""
+        return len(letters) + 2
+
+    def digits(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, len(self.letters) + 1).astype(np.uint64)
+
+    def totals(self, words: list[bytes]) -> np.ndarray:
+        """The sums of the weights of each word's grams, a row for each model."""
+        spelled = b"".join(BEGIN.encode() + w + END.encode() for w in words).decode("utf-8", "replace")
+        # as if other words' begins stood before the first
+        codes = np.frombuffer((BEGIN * self.order + spelled).encode("utf-32-le"), np.uint32)
+        word = np.cumsum(codes == ord(BEGIN)) - 1 - self.order
+        out, base = np.zeros((len(self.weights), len(words)), np.int64), self.base(self.letters)
+        for low in range(self.order, len(codes), BATCH):
+            high = min(len(codes), low + BATCH)
+            near = codes[low - self.order : high]
+            digit, begins = self.digits(near), near == ord(BEGIN)
+            inside, key = np.ones(high - low, bool), np.zeros(high - low, np.uint64)
+            for back in range(self.order):
+                at = slice(self.order - back, len(near) - back)
+                key += np.where(inside, digit[at], 0).astype(np.uint64) * np.uint64(base**back)
+                inside &= ~begins[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = np.flatnonzero((self.keys[place] == key) & ~begins[self.order :])
+            if not len(met):
+                continue
+            of, place = word[low:high][met], place[met]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            out[:, of[first]] += np.add.reduceat(self.weights[:, place], first, axis=1)
+        return out
+
+
+def held_model(weights: DataFrame, order: int) -> HeldModel | None:
+    """The model as the tasks hold it, or None if its grams are more than HELD_ENTRIES or their letters too many for 64 bits."""
+    number = weights.count()
+    if not 0 < number <= HELD_ENTRIES:
+        return None
+    whole = weights.select("gram", F.transform("weight", lambda w: F.round(w * UNIT).cast("long")).alias("weight"))
+    keys, figures = [], []
+    each = whole.select(F.explode(F.split("gram", "")).alias("letter")).distinct().limit(1 << 16).collect()
+    letters = np.array(sorted({ord(r["letter"]) for r in each if r["letter"]}), np.uint32)
+    if HeldModel.base(letters) ** order >= 1 << 64:
+        return None
+    base, empty = HeldModel.base(letters), HeldModel(letters, np.zeros(0, np.uint64), np.zeros((0, 0), np.int64), order)
+    parts = math.ceil(number / PART_ENTRIES)
+    for k in range(parts):
+        part = whole.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()
+        if not part.num_rows:
+            continue
+        grams = part.column("gram").to_pylist()
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
+        digit = empty.digits(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32))
+        end, key = np.cumsum(size), np.zeros(len(grams), np.uint64)
+        for back in range(order):
+            has = size > back
+            key[has] += digit[end[has] - 1 - back] * np.uint64(base**back)
+        keys.append(key)
+        figures.append(np.array(part.column("weight").combine_chunks().flatten(), np.int64).reshape(len(grams), -1))
+    key = np.concatenate(keys)
+    by_key = np.argsort(key)
+    return HeldModel(letters, key[by_key], np.concatenate(figures)[by_key].T.copy(), order)
+
+
+def mixed_values(totals: np.ndarray) -> np.ndarray:
+    """As in :func:`word_values`: the values of words from their grams' sums, in steps of 1 / UNIT."""
+    t = totals / UNIT
+    above = t + np.log(TOXIC_SHARE + (1 - TOXIC_SHARE) * np.exp(-np.maximum(t, 0)))
+    return np.rint(np.where(t > 0, above, np.log1p(TOXIC_SHARE * np.expm1(np.minimum(t, 0)))) * UNIT).astype(np.int64)
+
+
+def held_text_values(texts: DataFrame, model: HeldModel, models: int = 1) -> DataFrame:
+    """The rows of :func:`text_values` in one pass over the texts, whose tasks hold the model: nothing is shuffled.
+
+    A task values each word once, as long as it doesn't meet more than
+    DICTIONARY different ones; then it begins anew.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((model.letters, model.keys, model.weights, model.order))
+    dictionary, together = DICTIONARY, TOGETHER
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = HeldModel(*sent.value)
+        number: dict[bytes, int] = {}
+        values = np.zeros((models, 0), np.int64)
+
+        def summed(texts: list[list[bytes]], parts: list[int]) -> np.ndarray:
+            nonlocal values
+            if len(number) > dictionary:
+                number.clear()
+                values = np.zeros((models, 0), np.int64)
+            known = len(number)
+            at = np.fromiter((number.setdefault(w, len(number)) for words in texts for w in words), np.int64)
+            new = list(number)[known:]
+            if new:
+                values = np.concatenate([values, mixed_values(held.totals(new))], axis=1)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            each = values[np.repeat(np.array(parts, np.int64), sizes), at]
+            return np.diff(np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(sizes)]])
+
+        for batch in batches:
+            totals, sizes, held_back, parts, count = [np.zeros(0, np.int64)], [], [], [], 0
+            for text, part in zip(batch.column("text"), batch.column("model").to_pylist(), strict=True):
+                words = text.as_py().split()
+                held_back.append(words)
+                parts.append(part)
+                sizes.append(len(words))
+                count += len(words)
+                if count >= together:
+                    totals.append(summed(held_back, parts))
+                    held_back, parts, count = [], [], 0
+            if held_back:
+                totals.append(summed(held_back, parts))
+            size = np.array(sizes, np.int64)
+            value = np.where(size > 0, np.concatenate(totals) / np.maximum(size, 1) / UNIT, 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(value)], ["doc_id", "text_key", "value"])
+
+    given = texts.select("doc_id", "text_key", part_of(F.col("text_key"), models).alias("model"), F.col("text").cast("binary").alias("text"))
+    return given.mapInArrow(look_up, "doc_id long, text_key long, value double")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER, label_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
@@ -331,8 +461,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     likelihoods and doesn't follow the share of toxic labels.
 
     All letters, all grams and all words count, and the order is the same for any
-    input.  Distinct words are valued once; the texts are read once for that and
-    once for their scores.  Null and empty texts have value 0; very long ones are
+    input.  A model of HELD_ENTRIES grams at most is held by the tasks, which value
+    the words as they read the texts; with a larger one distinct words are valued
+    once, and the texts are read once for that and once for their scores.  Null and empty texts have value 0; very long ones are
     read whole.  An id labelled more than once is toxic if one label says so,
     and so is a text; null labels and ids are left out.  Repeated rows get equal
     scores.  Without training rows of both classes every score is the toxic share
@@ -354,9 +485,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     words = learnt.keep(word_counts(training.select("words", "label", "part"), MODELS))
     weights = scratch.keep(differences(learnt.keep(gram_counts(words, MARKS, order)), learnt, order, MODELS))
     learnt.forget(*range(learnt.made))
-    every = texts.select(part_of(F.col("text_key"), MODELS).alias("model"), F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
-    every = every.groupBy("word", "model").agg(F.count(F.lit(1)).alias("n"))
-    values = scratch.keep(text_values(texts, word_values(every, weights, valued, order), valued, MODELS))
+    held_by_tasks = held_model(weights, order)
+    if held_by_tasks:
+        values = scratch.keep(held_text_values(texts, held_by_tasks, MODELS))
+    else:
+        every = texts.select(part_of(F.col("text_key"), MODELS).alias("model"), F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+        every = every.groupBy("word", "model").agg(F.count(F.lit(1)).alias("n"))
+        values = scratch.keep(text_values(texts, word_values(every, weights, valued, order), valued, MODELS))
     valued.forget(*range(valued.made))
     score = F.lit(1.0 if 1 in classes and 0 not in classes else 0.0)
     if classes == {0, 1}:

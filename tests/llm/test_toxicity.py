@@ -230,3 +230,33 @@ def test_scores_match_brute_force(spark, monkeypatch):
     due = beta[1] + math.log((y == 0).sum() / (y == 1).sum())
     for i, t in enumerate(texts):
         assert found[i] == pytest.approx(1 / (1 + math.exp(-(beta[0] / scale * math.asinh((value[t] - middle) / spread) + due))), abs=1e-3)
+
+
+@pytest.mark.parametrize("batch", [3, 200_000])
+def test_held_models_give_the_same_values(spark, monkeypatch, batch):
+    """One pass over the texts gives what the distinct words' join gives, and shuffles nothing."""
+    monkeypatch.setattr(toxicity, "BATCH", batch)
+    monkeypatch.setattr(toxicity, "TOGETHER", 5)
+    monkeypatch.setattr(toxicity, "DICTIONARY", 4)
+    monkeypatch.setattr(toxicity, "PART_ENTRIES", 2)
+    grams = [("a", 0.5), ("\x02a", 0.25), ("aaa", 1.0), ("aa\x03", -2.0), ("ab\x03", 3.0), ("日本\x03", 1.5), ("\x02c", 7.0)]
+    weights = spark.createDataFrame([(g, [w, -2 * w]) for g, w in grams], "gram string, weight array<double>")
+    texts = ["", " ", "aaaa ab cab", "日本 x日本 aab", "aaa " * 9, "a" * 1000, "é本 aa aa b 😀a", "c cc"]
+    given = spark.createDataFrame([(i, 7 * i, t) for i, t in enumerate(texts)], "doc_id long, text_key long, text string").repartition(2)
+    words = given.select(toxicity.part_of(F.col("text_key"), 2).alias("model"), F.explode(F.split("text", " ")).alias("word")).where("word <> ''").groupBy("word", "model").count()
+    scratch = Scratch(spark, "test")
+    due = toxicity.text_values(given, toxicity.word_values(words.withColumnRenamed("count", "n"), weights, scratch, 3), scratch, 2)
+    found = toxicity.held_text_values(given, toxicity.held_model(weights, 3), 2)
+    due, got = ({r["doc_id"]: r["value"] for r in t.collect()} for t in (due, found))
+    assert got == pytest.approx(due, abs=1e-8) and len(got) == len(texts) and len(set(got.values())) > 5
+    plan = toxicity.held_text_values(spark.range(9).selectExpr("id AS doc_id", "id AS text_key", "string(id) AS text"), toxicity.held_model(weights, 3), 2)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_larger_models_join(spark, corpus, monkeypatch):
+    rows, labels = corpus
+    docs = spark.createDataFrame(rows[:200], "doc_id long, text string, x string")
+    score = lambda: {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = score()
+    monkeypatch.setattr(toxicity, "HELD_ENTRIES", 10)
+    assert score() == pytest.approx(held, abs=1e-6)
